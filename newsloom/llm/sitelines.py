@@ -4,7 +4,8 @@ Method: the lines of each source become identifiers; a distributed suffix array
 them is built by prefix doubling: equal names at level k are suffixes with a common
 prefix of 2^k lines. Suffixes whose first lines are too rare for a block are left out
 before the first doubling, so the levels end with the longest block. The longest
-common prefix that enough items share gives the block that starts at each line.
+prefix of 2^k lines that enough items share is the block that starts at a line; blocks
+overlap, and their union is what is removed.
 """
 
 from __future__ import annotations
@@ -69,15 +70,13 @@ def site_blocks(items: DataFrame, entities: DataFrame, aliases: DataFrame, text:
         if not level.limit(1).count():
             break
         levels.append(level)
-    # The longest common prefix at each suffix, from the longest power of two down.
-    found = levels[0].select("id", "source_key", "seq", "line_no", F.lit(0).alias("length"), F.lit(0).cast("long").alias("name"))
-    for k in reversed(range(len(levels))):
-        more = levels[k].select("id", F.col("seq").alias("_at"), F.col("name").alias("_more"))
-        tried = found.withColumn("_at", F.col("seq") + F.col("length")).join(more, ["id", "_at"])
-        tried = tried.select("id", "source_key", "seq", F.when(F.col("length") == 0, F.col("_more")).otherwise(F.xxhash64("name", "_more")).alias("name"))
-        grown = shared(tried).select("id", "seq", F.col("name").alias("_grown"))
-        found = found.join(grown, ["id", "seq"], "left").select("id", "source_key", "seq", "line_no", (F.col("length") + F.when(F.col("_grown").isNotNull(), 2**k).otherwise(0)).alias("length"), F.coalesce("_grown", "name").alias("name"))
-    return found.where("length > 0").select(F.col("id").alias("raw_item_id"), "line_no", "source_key", F.col("name").alias("block"), "length")
+    # The longest level of each suffix: a block of 2^k lines that enough items share.
+    every = levels[0].withColumn("length", F.lit(1))
+    for k, level in enumerate(levels[1:], 1):
+        every = every.select("id", "source_key", "seq", "name", "length").union(level.select("id", "source_key", "seq", "name", F.lit(2**k).alias("length")))
+    longest = every.groupBy("id", "source_key", "seq").agg(F.max(F.struct("length", "name")).alias("_b"))
+    at = levels[0].select("id", "seq", "line_no")
+    return longest.join(at, ["id", "seq"]).select(F.col("id").alias("raw_item_id"), "line_no", "source_key", F.col("_b.name").alias("block"), F.col("_b.length").alias("length"))
 
 
 def site_lines(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str = "clean_text_original") -> DataFrame:
