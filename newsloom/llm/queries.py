@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import sitelines, splits, textform
+from . import garbled, leakage, pieces, sitelines, splits, textform
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -51,5 +51,28 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.without_site_lines(*_sources(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean)}
-SQL: dict[str, str] = {}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.cut(table(spark, sf_dir, "raw_items"), "id", "clean_text_original")
+    return made.where("piece_no = 2").select(F.col("id").alias("raw_item_id")).distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pieces.cut(table(spark, sf_dir, "raw_items"), "id", "clean_text_original")
+    return made.withColumnRenamed("id", "raw_item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(*(table(spark, sf_dir, t) for t in ("documents", "eval_items", "lang_samples")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with their restored texts."""
+    return garbled.garbled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).withColumnRenamed("text_new", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p9_found, p10_found, p10_restored)}
+SQL: dict[str, str] = {"p4_found": "SELECT id AS raw_item_id FROM raw_items WHERE length(clean_text_original) > 1200"}
