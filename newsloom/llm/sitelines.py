@@ -25,11 +25,32 @@ def content(line: Column) -> Column:
     return F.lower(F.regexp_replace(line, r"(?U)[\s\p{N}]+", ""))
 
 
-def plain_texts(items: DataFrame, text: str) -> DataFrame:
-    """(id, _text): the texts in consistent form. Only those with suspect characters are rebuilt; null texts are left out."""
-    given = items.select("id", F.col(text).alias("_text"))
-    clean = given.where(~F.col("_text").rlike(suspect()))
-    return clean.union(to_consistent(given, ["id"], "_text").select("id", F.col("text_new").alias("_text")))
+def line_names(text: Column) -> Column:
+    """(line_no, name) of the lines with content of a text in consistent form."""
+    named = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), F.when(content(x) != "", F.xxhash64(content(x))).alias("name")))
+    return F.filter(named, lambda s: s["name"].isNotNull())
+
+
+def _with_source(items: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    return with_identity(items, entities, aliases).withColumn("source_key", F.coalesce("source_key", F.lit("")))
+
+
+def _thresholds(sources: DataFrame) -> DataFrame:
+    """(source_key, _least): in how many items of a source a line must occur."""
+    return sources.groupBy("source_key").agg(F.greatest(F.lit(LEAST_ITEMS), F.ceil(F.count("*") * LEAST_PERCENT / 100)).alias("_least"))
+
+
+def common_lines(lines: DataFrame, needed: DataFrame) -> DataFrame:
+    """(source_key, name) of lines in enough items. lines: source_key and _lines of each item; counted per item once, before any shuffle."""
+    once = lines.select("source_key", F.explode(F.array_distinct(F.transform("_lines", lambda s: s["name"]))).alias("name"))
+    return once.groupBy("source_key", "name").agg(F.count("*").alias("_in")).join(needed, "source_key").where("_in >= _least").select("source_key", "name")
+
+
+def texts_of_sources(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """The items with their source_key and their texts in consistent form (_text), and the thresholds of the sources. Texts never leave their row, but for those with disguises."""
+    kept = _with_source(items.select("id", "source_name", "metadata_json", F.col(text).alias("_text")), entities, aliases).select("id", "source_key", "_text")
+    clean = kept.where(~F.col("_text").rlike(suspect()))
+    return clean.union(to_consistent(kept, ["id", "source_key"], "_text").select("id", "source_key", F.col("text_new").alias("_text"))), _thresholds(kept)
 
 
 def site_blocks(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str = "clean_text_original") -> DataFrame:
@@ -40,22 +61,11 @@ def site_blocks(items: DataFrame, entities: DataFrame, aliases: DataFrame, text:
     empty texts counting as items. Lines without content break no block and are never
     in one. Items without source name count as one source.
     """
-    sources = with_identity(items.select("id", "source_name", "metadata_json"), entities, aliases).select("id", F.coalesce("source_key", F.lit("")).alias("source_key"))
-    sources = sources.dropDuplicates(["id"])
-    lines = plain_texts(items, text).select(
-        "id",
-        F.filter(
-            F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), F.when(content(x) != "", F.xxhash64(content(x))).alias("name"))),
-            lambda s: s["name"].isNotNull(),
-        ).alias("_lines"),
-    )
-    lines = stored(lines.join(sources, "id"), "lines")
-    needed = lines.groupBy("source_key").agg(F.count("*").alias("n")).union(sources.join(lines, "id", "left_anti").groupBy("source_key").agg(F.count("*").alias("n")))
-    needed = needed.groupBy("source_key").agg(F.greatest(F.lit(LEAST_ITEMS), F.ceil(F.sum("n") * LEAST_PERCENT / 100)).alias("_least"))
-    once = lines.select("source_key", F.explode(F.array_distinct(F.transform("_lines", lambda s: s["name"]))).alias("name"))
-    common = once.groupBy("source_key", "name").agg(F.count("*").alias("_in")).join(needed, "source_key").where("_in >= _least").select("source_key", "name")
+    texts, needed = texts_of_sources(items, entities, aliases, text)
+    lines = stored(texts.select("id", "source_key", line_names(F.col("_text")).alias("_lines")), "lines")
+    needed = stored(needed, "thresholds")
     starts = lines.select("id", "source_key", F.posexplode("_lines").alias("seq", "_l")).select("id", "source_key", "seq", "_l.line_no", "_l.name")
-    levels = [stored(starts.join(common, ["source_key", "name"]), "level")]
+    levels = [stored(starts.join(common_lines(lines, needed), ["source_key", "name"]), "level")]
 
     def shared(names: DataFrame) -> DataFrame:
         """The rows of (id, source_key, name, ...) whose name occurs in enough items."""
