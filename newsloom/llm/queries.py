@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import garbled, leakage, mainbody, neardup, pieces, sitelines, splits, textform
+from . import garbled, langid, leakage, mainbody, neardup, pieces, sitelines, splits, textform
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -61,6 +61,15 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumnRenamed("id", "raw_item_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = _sources(spark, sf_dir)
+    return langid.wrong_labels(sources[0], langid.item_languages(*sources, table(spark, sf_dir, "lang_samples")))
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.item_languages(*_sources(spark, sf_dir), table(spark, sf_dir, "lang_samples"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     items, entities, aliases = _sources(spark, sf_dir)
     return items.where(F.col("source_type").isin("news", "press_release")), entities, aliases, table(spark, sf_dir, "lang_samples")
@@ -95,5 +104,5 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).withColumnRenamed("text_new", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p6_found, p6_bodies, p7_found, p7_groups, p9_found, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p5_found, p5_languages, p6_found, p6_bodies, p7_found, p7_groups, p9_found, p10_found, p10_restored)}
 SQL: dict[str, str] = {"p4_found": "SELECT id AS raw_item_id FROM raw_items WHERE length(clean_text_original) > 1200"}
