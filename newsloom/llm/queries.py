@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import garbled, langid, leakage, mainbody, neardup, pieces, sitelines, splits, textform
+from . import garbled, langid, leakage, mainbody, neardup, packing, pieces, sitelines, splits, textform
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -91,6 +91,10 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(*_sources(spark, sf_dir))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(*(table(spark, sf_dir, t) for t in ("documents", "eval_items", "lang_samples")))
 
@@ -104,5 +108,5 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).withColumnRenamed("text_new", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p5_found, p5_languages, p6_found, p6_bodies, p7_found, p7_groups, p9_found, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p5_found, p5_languages, p6_found, p6_bodies, p7_found, p7_groups, p8_containers, p9_found, p10_found, p10_restored)}
 SQL: dict[str, str] = {"p4_found": "SELECT id AS raw_item_id FROM raw_items WHERE length(clean_text_original) > 1200"}
