@@ -22,8 +22,8 @@ from .leakage import word_hashes
 from .sitelines import common_lines, content, line_names, texts_of_sources
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.5, 100
-#: 1 - (1 - s^ROWS)^BANDS of the pairs of weighted similarity s meet: 0.986 at 0.5, 0.9996 at 0.6.
-BANDS, ROWS = 32, 3
+#: 1 - (1 - s^ROWS)^BANDS of the pairs of weighted similarity s meet: 0.955 at 0.5, 0.9987 at 0.6.
+BANDS, ROWS = 48, 4
 #: Cells of the sketch that counts in how many texts a shingle occurs; two shingles in one cell count together.
 CELLS, BLOCKS = 1 << 20, 64
 _MAX = np.iinfo(np.uint64).max
@@ -65,7 +65,7 @@ def shingle_sets(texts: DataFrame, words: Column, n: int = SHINGLE) -> DataFrame
 
 
 def shingle_weights(sets: DataFrame) -> np.ndarray:
-    """The weight of each cell: ln(1 + texts / texts with a shingle of the cell), over all texts. Each task counts into one array of fixed size; 64 pieces are added up."""
+    """The weight of each cell: the square of ln(1 + texts / texts with a shingle of the cell), over all texts. Each task counts into one array of fixed size; 64 pieces are added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(CELLS, np.int32), 0
@@ -89,7 +89,7 @@ def shingle_weights(sets: DataFrame) -> np.ndarray:
     if not rows:
         return np.ones(CELLS, np.float32)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["block"])])
-    return np.log1p(rows[0]["n"] / np.maximum(counts, 1)).astype(np.float32)
+    return (np.log1p(rows[0]["n"] / np.maximum(counts, 1)) ** 2).astype(np.float32)
 
 
 class Sampler:
@@ -157,20 +157,26 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return pairs.join(one, "a").join(two, "b").select("a", "b", (both >= similar * (F.size("_a") + F.size("_b") - both)).alias("near"))
 
 
-def near_links(sets: DataFrame) -> DataFrame:
+def near_links(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     """(a, b), a < b: links between different texts that connect all texts which are near to each other and meet in a bucket.
 
-    Each text of a bucket meets its first; those it isn't near to meet all of the
-    bucket. So a bucket of n near texts costs n - 1 comparisons, and no link is dropped.
+    firsts: (id, first), the text that stands for a text's copies; copies leave before
+    anything is compared. Each text of a bucket meets its first; those it isn't near to
+    meet all of the bucket. So a bucket of n near texts costs n - 1 comparisons, and no
+    link is dropped.
     """
-    placed = stored(buckets(sets, shingle_weights(sets)), "buckets")
+    placed = buckets(sets, shingle_weights(sets)).join(firsts, "id").select("bucket", F.col("first").alias("id")).distinct()
+    placed = stored(placed, "buckets")
     heads = placed.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = stored(placed.join(heads, "bucket").where("id <> head").select("bucket", "head", "id"), "met")
-    first = stored(verified(met.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets), "first")
+    # Only sets of texts that meet another are moved.
+    wanted = met.select(F.explode(F.array("head", "id")).alias("id")).distinct()
+    some = stored(sets.join(small(wanted, 1_000_000), "id"), "meeting")
+    first = stored(verified(met.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), some), "first")
     failed = met.join(first.where("not near").select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"]).select("bucket", "id")
     others = failed.join(met.select("bucket", F.col("id").alias("other")), "bucket").where("id <> other")
     second = others.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return first.union(verified(second, sets)).where("near").select("a", "b")
+    return first.union(verified(second, some)).where("near").select("a", "b")
 
 
 def near_groups(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str = "clean_text_original", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -192,8 +198,8 @@ def near_groups(items: DataFrame, entities: DataFrame, aliases: DataFrame, text:
     sets = stored(sets, "sets")
     members = stored(sets.select("id", F.xxhash64("shingles", F.size("shingles")).alias("_set")), "members")
     firsts = members.groupBy("_set").agg(F.min("id").alias("first"), F.count_distinct("id").alias("copies"))
-    distinct = stored(sets.join(firsts.select(F.col("first").alias("id")), "id").dropDuplicates(["id"]), "distinct")
-    links = stored(near_links(distinct), "links")
+    stands = members.join(firsts.select("_set", "first"), "_set").select("id", "first").distinct()
+    links = stored(near_links(sets, stands), "links")
     _, components = spanning_forest(links.select(F.col("a").alias("u"), F.col("b").alias("v"), F.xxhash64("a", "b").alias("w")))
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("_n"))
     named = firsts.join(components.select(F.col("node").alias("first"), "root"), "first", "left").join(degree, "first", "left")
