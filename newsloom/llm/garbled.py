@@ -18,12 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textform import unless_usual
+
 #: Wrong encodings that are tried. Those of one entry differ in few characters and are often mixed in one text, so they count as one.
 ENCODINGS = {"western": ("cp1252", "latin-1"), "mac": ("mac_roman",), "cyrillic": ("cp1251",), "dos": ("cp437",)}
 #: Longest chain of wrong decodings, and what each step costs, in bytes.
 DEPTH, STEP_COST = 3, 1
 #: Suspect sequences this near to each other are decided together, in pieces of at most so many characters, with so many around them.
 NEAR, LONGEST, AROUND = 4, 240, 24
+LOST = "�"
 #: What a character costs more, in bytes, that the samples of no language have.
 UNKNOWN_COST = 4
 #: The same for Greek and Cyrillic letters, which also serve as signs.
@@ -73,7 +76,8 @@ _BROKEN = re.compile(BROKEN)
 def suspect() -> str:
     """A pattern for Java that finds every text with a candidate decoding or a broken character."""
     leads = {c for e in ENCODINGS for c, b in _bytes_of(e).items() if 0xC2 <= b <= 0xF4}
-    return f"[\\x80-\\x84\\x86-\\x9f\\x{{FFFD}}]|(?={_class(leads, True)})(?:{'|'.join(_sequence(e, True) for e in ENCODINGS)})"
+    broken = {chr(c) for c in range(0x80, 0xA0) if c != 0x85} | {LOST}
+    return f"{unless_usual(leads | broken)}(?:[\\x80-\\x84\\x86-\\x9f\\x{{FFFD}}]|{'|'.join(_sequence(e, True) for e in ENCODINGS)})"
 
 
 @cache

@@ -26,8 +26,8 @@ BLOCK = 20_000
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the words: runs of letters, marks and digits without case; apostrophes within words are left out."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "(?<=\\p{L})['’](?=\\p{L})", ""), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    plain = F.lower(F.replace(F.replace(text, F.lit("'"), F.lit("")), F.lit("’"), F.lit("")))
+    return F.transform(F.array_remove(F.split(plain, r"[^\p{L}\p{M}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
 def _grams(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:

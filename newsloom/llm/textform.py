@@ -98,6 +98,17 @@ def _ranges(chars: set[str], java: bool) -> str:
     return "".join(out)
 
 
+def unless_usual(starts: set[str]) -> str:
+    """A look-ahead for Java that leaves common letters soon where a match can only start with one of `starts`. Java tries the ranges of a class one by one, so the long runs of letters that start nothing come first."""
+    gaps, start = [], 0
+    for c in [*sorted(map(ord, starts)), 0x3400]:
+        if c > start and any(start <= b and c - 1 >= a for a, b in ((0, 0x17F), (0x900, 0xDFF), (0x2010, 0x2027))):
+            gaps.append((start, c - 1))
+        start = c + 1
+    gaps = sorted(sorted(gaps, key=lambda r: r[0] - r[1])[:24])
+    return "(?![" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in gaps) + "])"
+
+
 @cache
 def suspect(java: bool = True) -> str:
     """A pattern that finds every text which `consistent` may change; a text without a match is in its one form."""
@@ -116,14 +127,7 @@ def suspect(java: bool = True) -> str:
         cls(nukta) + f"(?<={virama}{cls(nukta)})",
         cls(early) + "{2}",
     ]
-    # Java tries the ranges of a class one by one: long runs of letters that start nothing come first, so that it leaves them soon.
-    gaps, start = [], 0
-    for c in [*sorted(map(ord, single | seconds | digits | nukta | early)), 0x3400]:
-        if c > start and (start < 0x180 or 0x900 <= start < 0xE00 or 0x2010 <= start < 0x2028):
-            gaps.append((start, c - 1))
-        start = c + 1
-    gaps = sorted(sorted(gaps, key=lambda r: r[0] - r[1])[:24])
-    ahead = "(?![" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in gaps) + "])" if java else ""
+    ahead = unless_usual(single | seconds | digits | nukta | early) if java else ""
     return f"{ahead}(?:{'|'.join(branches)})"
 
 
