@@ -1,0 +1,66 @@
+"""Rule-based classification by word lists, as columns. The lists are parameters."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words is in the text, as a substring and without case; one alternation, so the text is read once."""
+    quoted = "|".join("\\Q" + w.lower() + "\\E" for w in sorted(words, key=len, reverse=True))
+    return F.lower(text).rlike(quoted) if words else F.lit(False)
+
+
+@dataclass(frozen=True)
+class Lens:
+    """What a reader looks for: whose portrayal, which words speak well or ill, which topics are out of scope."""
+
+    subject: tuple[str, ...] = ("minister", "department", "collectorate", "council")
+    good: tuple[str, ...] = ("approved", "welcomed", "speed up", "fund")
+    bad: tuple[str, ...] = ("halted", "rejected", "postponed", "walked out", "mishandled")
+    civic: tuple[str, ...] = ("water", "road", "drain", "ration", "power", "school")
+    problem: tuple[str, ...] = ("complaint", "waiting", "breached", "shortage", "vacant", "nobody")
+    danger: tuple[str, ...] = ("fever", "cyclone", "flood")
+    out_of_scope: tuple[str, ...] = ("cricket", "film", "trailer")
+    #: Ordered rules: name and words; the first that fits gives the issue.
+    issues: tuple[tuple[str, tuple[str, ...]], ...] = field(default=(("health", ("fever", "clinic", "ambulance")), ("water", ("water", "drain", "borewell", "lake")), ("roads", ("road", "bridge", "bus")), ("welfare", ("ration", "pension", "school"))))
+
+
+def classify(texts: DataFrame, text: str, lens: Lens = Lens()) -> DataFrame:
+    """Adds is_listing, in_scope, people_issue, issue, stance and relevance. Null texts are classified as empty ones."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    good, bad = contains_any(t, lens.good), contains_any(t, lens.bad)
+    about = contains_any(t, lens.subject)
+    outside = contains_any(t, lens.out_of_scope) & ~about
+    people = ~outside & (contains_any(t, lens.danger) | (contains_any(t, lens.civic) & contains_any(t, lens.problem)))
+    issue = F.coalesce(*[F.when(contains_any(t, words), name) for name, words in lens.issues], F.lit("general"))
+    listing = (F.length(t) < 160) | (F.regexp_count(F.substring(t, 1, 1200), F.lit("[!?]")) >= 5)
+    stance = F.when(good & bad, "mixed").when(good, "positive").when(bad, "negative").otherwise("neutral")
+    relevance = F.when(outside, "none").when(about & (good | bad), "high").when(about, "medium").otherwise("low")
+    return texts.withColumns({"is_listing": listing, "in_scope": ~outside, "people_issue": people, "issue": issue, "stance": stance, "relevance": relevance})
+
+
+def audit(analyses: DataFrame) -> DataFrame:
+    """(analysis_id, code): what is odd about an analysis, a row for each finding."""
+    empty = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    severe = F.lower("severity").isin("high", "critical")
+    found = {
+        "no_summary": empty("summary_english"),
+        "no_evidence": F.coalesce(F.size("evidence_quotes_original"), F.lit(0)) <= 0,
+        "severe_without_issue": severe & empty("public_issue"),
+        "unknown_district": F.lower(F.coalesce("district", F.lit(""))).isin("", "unknown"),
+        "unsure_without_review": (F.col("confidence") < 0.5) & ~F.col("needs_human_review"),
+        "severe_with_low_priority": severe & (F.lower("action_priority") == "low"),
+    }
+    codes = F.array_compact(F.array(*[F.when(c, name) for name, c in found.items()]))
+    return analyses.select(F.col("id").alias("analysis_id"), F.explode(codes).alias("code"))
+
+
+def located(text: Column, names: dict[str, str]) -> Column:
+    """The name whose alias comes first in the text, the alias of most letters winning ties; null if none does. names: alias to name."""
+    low = F.lower(text)
+    found = [F.when(F.locate(a.lower(), low) > 0, F.struct(F.locate(a.lower(), low).alias("at"), F.lit(-len(a)).alias("n"), F.lit(n).alias("name"))) for a, n in sorted(names.items())]
+    return F.array_min(F.array_compact(F.array(*found)))["name"]

@@ -1 +1,4 @@
+"""The queries of the engine."""
 
+from . import analyses, graph, labels, texts  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
