@@ -45,8 +45,9 @@ def parse_feeds(feeds: DataFrame, source: str = "source_name", xml: str = "xml")
             yield pd.DataFrame([(s, *e) for s, x in zip(f[source], f[xml]) for e in feed_entries(x)], columns=[source, "url", "title", "published"])
 
     parsed = feeds.select(source, xml).mapInPandas(work, f"{source} string, url string, title string, published string")
-    formats = ["EEE, dd MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssX"]
-    when = F.coalesce(*[F.try_to_timestamp("published", F.lit(f)) for f in formats])
+    formats = ["d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssX"]
+    bare = F.regexp_replace("published", r"^[A-Za-z]{3},\s*", "")  # Spark reads no names of days
+    when = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
     return parsed.select(source, "url", "title", when.alias("published_at"))
 
 
