@@ -30,7 +30,7 @@ def test_feeds_listings_and_pages(spark):
 
 def test_exports_and_names(spark, tmp_path):
     write_jsonl(spark.createDataFrame([("தமிழ்",)], "t string"), str(tmp_path / "j"))
-    assert "தமிழ்" in next((tmp_path / "j").glob("part*")).read_text()
+    assert "தமிழ்" in "".join(f.read_text(encoding="utf-8") for f in (tmp_path / "j").glob("part*"))
     assert report_path("/r", "2026-01-01").endswith(".md")
     for bad in ("../x", "a/b", ".."):
         with pytest.raises(ValueError):
