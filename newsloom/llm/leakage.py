@@ -20,6 +20,8 @@ from . import garbled
 K, WINDOW = 3, 3
 #: A passage counts from so many words of the item, with at most one edit to so many words.
 LEAST_WORDS, WORDS_PER_EDIT = 15, 8
+#: Words at either end of a passage that are tried beyond the outermost shared k-grams.
+FLANK = 6
 #: Items that are sent to the tasks at once; more are worked off in blocks, a pass over the documents for each.
 BLOCK = 20_000
 
@@ -107,10 +109,17 @@ def leaks(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.nda
             words = i1 + n1 - runs[start][0]
             if words >= LEAST_WORDS and c <= words // WORDS_PER_EDIT:
                 return True
-            # The first or last words of a passage may themselves be changed.
-            more = LEAST_WORDS - words
-            if more > 0 and words + more <= len(item) and c + more <= LEAST_WORDS // WORDS_PER_EDIT:
-                return True
+            # Words before and after, too few or too much changed to share a k-gram, may belong to the passage.
+            if words >= LEAST_WORDS - 2 * FLANK:
+                i0, d0 = runs[start][0], runs[start][1]
+                left = [min(_edits(item[i0 - f : i0], doc[d0 - m : d0], f) for m in range(min(f + 2, d0) + 1)) for f in range(min(FLANK, i0) + 1)]
+                i9, d9 = i1 + n1, d1 + n1
+                right = [min(_edits(item[i9 : i9 + f], doc[d9 : d9 + m], f) for m in range(min(f + 2, len(doc) - d9) + 1)) for f in range(min(FLANK, len(item) - i9) + 1)]
+                for f, cf in enumerate(left):
+                    for h, ch in enumerate(right):
+                        n = words + f + h
+                        if n >= LEAST_WORDS and c + cf + ch <= n // WORDS_PER_EDIT:
+                            return True
     return False
 
 

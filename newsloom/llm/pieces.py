@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1200, 200
 #: Where a text may be cut, best first: after the match.
-SEPARATORS = (r"\n[ \t]*(?:\n[ \t]*)+", r"\n", r"[.!?।॥…]+[\"'”’»)\]]*\s+", r"\s+")
+SEPARATORS = (r"\n[ \t]*(?:\n[ \t]*)+", r"\n+", r"[.!?।॥…]+[\"'”’»)\]]*\s+", r"\s+")
 
 
 @cache

@@ -50,7 +50,8 @@ def texts_of_sources(items: DataFrame, entities: DataFrame, aliases: DataFrame,
     """The items with their source_key and their texts in consistent form (_text), and the thresholds of the sources. Texts never leave their row, but for those with disguises."""
     kept = _with_source(items.select("id", "source_name", "metadata_json", F.col(text).alias("_text")), entities, aliases).select("id", "source_key", "_text")
     clean = kept.where(~F.col("_text").rlike(suspect()))
-    return clean.union(to_consistent(kept, ["id", "source_key"], "_text").select("id", "source_key", F.col("text_new").alias("_text"))), _thresholds(kept)
+    rebuilt = stored(to_consistent(kept, ["id", "source_key"], "_text").select("id", "source_key", F.col("text_new").alias("_text")), "rebuilt")  # read more than once
+    return clean.union(rebuilt), _thresholds(kept)
 
 
 def site_blocks(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str = "clean_text_original") -> DataFrame:
