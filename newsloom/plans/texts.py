@@ -9,8 +9,12 @@ from ..functions import text as x
 from ..functions.chunks import word_chunks
 from ..operators import rules, vectors
 from ..sources import pages
+from ..session import small
 from .registry import Tables, query
 
+#: Items of a day that are clustered in one task, in exact order.
+BLOCK = 20_000
+
 SPACE = r"trim(regexp_replace({0}, '[\s ]+', ' ', 'g'))"
 
 
@@ -170,6 +174,10 @@ def _story_words(t: Tables) -> DataFrame:
     buckets = vectors.word_buckets(news, "id", "lead").groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
     empty = F.array().cast("array<long>")
     joined = news.drop("lead").join(buckets, "id", "left")
+    # A day of more items than a task should hold is parted by the most frequent word of a text.
+    sizes = news.groupBy("block").agg(F.count("*").alias("_n"))
+    top = F.expr("get(buckets, array_position(counts, array_max(counts)) - 1)")
+    joined = joined.join(small(sizes), "block").withColumn("block", F.when(F.col("_n") > BLOCK, F.concat_ws("/", "block", top.cast("string"))).otherwise(F.col("block")))
     return joined.select("id", "ord", "block", F.coalesce(F.col("buckets").cast("array<long>"), empty).alias("buckets"), F.coalesce("counts", empty).alias("counts"))
 
 
