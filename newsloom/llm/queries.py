@@ -109,4 +109,18 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p5_found, p5_languages, p6_found, p6_bodies, p7_found, p7_groups, p8_containers, p9_found, p10_found, p10_restored)}
-SQL: dict[str, str] = {"p4_found": "SELECT id AS raw_item_id FROM raw_items WHERE length(clean_text_original) > 1200"}
+def _fold(c: str) -> str:
+    return f"nullif(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '')"
+
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH RECURSIVE al AS (SELECT {_fold('alias')} AS name, min(entity_id) AS e FROM entity_aliases a JOIN entities n ON n.id = a.entity_id WHERE n.entity_type = 'source' GROUP BY 1),
+ au AS (SELECT {_fold('alias')} AS name, min(entity_id) AS e FROM entity_aliases a JOIN entities n ON n.id = a.entity_id WHERE n.entity_type = 'person' AND n.role = 'journalist' GROUP BY 1),
+ it AS (SELECT r.id, coalesce('e' || s.e, 'n' || {_fold('source_name')}) AS s, 'a' || u.e AS a FROM raw_items r LEFT JOIN al s ON s.name = {_fold('source_name')} LEFT JOIN au u ON u.name = {_fold("metadata_json['author']")}),
+ ed AS (SELECT DISTINCT s AS x, a AS y FROM it WHERE a IS NOT NULL), bo AS (SELECT x, y FROM ed UNION SELECT y, x FROM ed),
+ re AS (SELECT DISTINCT s AS node, s AS other FROM it UNION SELECT re.node, bo.y FROM re JOIN bo ON bo.x = re.other),
+ lab AS (SELECT DISTINCT l.raw_item_id, it.s FROM labeled_examples l JOIN it ON it.id = l.raw_item_id),
+ fi AS (SELECT re.node, min(lab.raw_item_id) AS f FROM re JOIN lab ON lab.s = re.other GROUP BY 1)
+ SELECT lab.raw_item_id, fi.f AS group_first_id FROM lab JOIN fi ON fi.node = lab.s""",
+    "p4_found": "SELECT id AS raw_item_id FROM raw_items WHERE length(clean_text_original) > 1200",
+}
