@@ -70,6 +70,7 @@ def _edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Words to change, leave out or add between a and b; limit + 1 if more than limit."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
+    a, b = a.tolist(), b.tolist()
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -78,6 +79,20 @@ def _edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return min(row[-1], limit + 1)
 
 
+def _flank(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """For each number of first words of a, the edits to the nearest first words of b."""
+    a, b = a.tolist(), b.tolist()
+    row, out = list(range(len(b) + 1)), [0]
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            keep = row[j]
+            row[j] = min(keep + 1, row[j - 1] + 1, last + (x != y))
+            last = keep
+        out.append(min(row))
+    return out
+
+
 def leaks(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray) -> bool:
     """Whether the doc repeats a passage of the item. at_item, at_doc: the starts of all shared k-grams."""
     places = np.unique(at_item)
@@ -110,11 +125,10 @@ def leaks(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.nda
             if words >= LEAST_WORDS and c <= words // WORDS_PER_EDIT:
                 return True
             # Words before and after, too few or too much changed to share a k-gram, may belong to the passage.
-            if words >= LEAST_WORDS - 2 * FLANK:
-                i0, d0 = runs[start][0], runs[start][1]
-                left = [min(_edits(item[i0 - f : i0], doc[d0 - m : d0], f) for m in range(min(f + 2, d0) + 1)) for f in range(min(FLANK, i0) + 1)]
-                i9, d9 = i1 + n1, d1 + n1
-                right = [min(_edits(item[i9 : i9 + f], doc[d9 : d9 + m], f) for m in range(min(f + 2, len(doc) - d9) + 1)) for f in range(min(FLANK, len(item) - i9) + 1)]
+            if words >= LEAST_WORDS - 2 * FLANK and c <= (words + 2 * FLANK) // WORDS_PER_EDIT:
+                i0, d0, i9, d9 = *runs[start][:2], i1 + n1, d1 + n1
+                left = _flank(item[max(0, i0 - FLANK) : i0][::-1], doc[max(0, d0 - FLANK) : d0][::-1])
+                right = _flank(item[i9 : i9 + FLANK], doc[d9 : d9 + FLANK])
                 for f, cf in enumerate(left):
                     for h, ch in enumerate(right):
                         n = words + f + h
