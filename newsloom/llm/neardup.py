@@ -22,10 +22,12 @@ from .leakage import word_hashes
 from .sitelines import common_lines, content, line_names, texts_of_sources
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.5, 100
-#: 1 - (1 - s^ROWS)^BANDS of the pairs of weighted similarity s meet: 0.955 at 0.5, 0.9987 at 0.6.
-BANDS, ROWS = 48, 4
+#: 1 - (1 - s^ROWS)^BANDS of the pairs of weighted similarity s meet. What differs weighs more than what is shared: texts of which just half is the same have a mean s of 0.41.
+BANDS, ROWS = 72, 3
 #: Cells of the sketch that counts in how many texts a shingle occurs; two shingles in one cell count together.
 CELLS, BLOCKS = 1 << 20, 64
+#: Bits of the sketch of a text that tells which pairs can't overlap enough.
+BITS = 2048
 _MAX = np.iinfo(np.uint64).max
 
 
@@ -65,7 +67,7 @@ def shingle_sets(texts: DataFrame, words: Column, n: int = SHINGLE) -> DataFrame
 
 
 def shingle_weights(sets: DataFrame) -> np.ndarray:
-    """The weight of each cell: the square of ln(1 + texts / texts with a shingle of the cell), over all texts. Each task counts into one array of fixed size; 64 pieces are added up."""
+    """The weight of each cell: ln(1 + texts / texts with a shingle of the cell), over all texts. Each task counts into one array of fixed size; 64 pieces are added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(CELLS, np.int32), 0
@@ -89,7 +91,7 @@ def shingle_weights(sets: DataFrame) -> np.ndarray:
     if not rows:
         return np.ones(CELLS, np.float32)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["block"])])
-    return (np.log1p(rows[0]["n"] / np.maximum(counts, 1)) ** 2).astype(np.float32)
+    return np.log1p(rows[0]["n"] / np.maximum(counts, 1)).astype(np.float32)
 
 
 class Sampler:
@@ -149,12 +151,45 @@ def buckets(sets: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: int
     return sets.mapInArrow(work, "id long, bucket long")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, size, bits): how many shingles a text has, and a bit for each of BITS cells that holds one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = _lists(batch.column("shingles"))
+            n = len(offsets) - 1
+            on = np.zeros((n, BITS), np.bool_)
+            on[np.repeat(np.arange(n), np.diff(offsets)), (flat.view(np.uint64) >> np.uint64(20)) % np.uint64(BITS)] = True
+            bits = [x.tobytes() for x in np.packbits(on, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets).astype(np.int32)), pa.array(bits, pa.binary())], names=["id", "size", "bits"])
+
+    return sets.select("id", "shingles").mapInArrow(work, "id long, size int, bits binary")
+
+
+def possible(pairs: DataFrame, drawn: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) that may overlap enough. A cell of one text that is empty in the other holds a shingle not shared, so no pair that overlaps enough is left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (np.asarray(batch.column(c)).astype(np.int64) for c in ("m", "n"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("x", "y"))
+            most = np.minimum(m - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            yield batch.select(["a", "b"]).filter(pa.array(most * (1 + similar) >= similar * (m + n)))
+
+    one = drawn.select(F.col("id").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
+    two = drawn.select(F.col("id").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
+    least, most = F.least("m", "n"), F.greatest("m", "n")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").where(least >= similar * most).mapInArrow(work, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """pairs (a, b) with `near`: whether their whole sets overlap enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b"))
+    """The pairs (a, b) whose whole sets overlap enough. Only sets that a pair names are moved."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = stored(sets.join(small(wanted, 1_000_000), "id").dropDuplicates(["id"]), "meeting")
+    one = some.select(F.col("id").alias("a"), F.col("shingles").alias("_a"))
+    two = some.select(F.col("id").alias("b"), F.col("shingles").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", (both >= similar * (F.size("_a") + F.size("_b") - both)).alias("near"))
+    return pairs.join(one, "a").join(two, "b").where(both >= similar * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
 def near_links(sets: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -169,14 +204,14 @@ def near_links(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     placed = stored(placed, "buckets")
     heads = placed.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = stored(placed.join(heads, "bucket").where("id <> head").select("bucket", "head", "id"), "met")
-    # Only sets of texts that meet another are moved.
     wanted = met.select(F.explode(F.array("head", "id")).alias("id")).distinct()
-    some = stored(sets.join(small(wanted, 1_000_000), "id"), "meeting")
-    first = stored(verified(met.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), some), "first")
-    failed = met.join(first.where("not near").select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"]).select("bucket", "id")
+    drawn = small(stored(sketches(sets).join(small(wanted, 1_000_000), "id").dropDuplicates(["id"]), "sketches"), 50_000)
+    tried = stored(met.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    first = stored(verified(stored(possible(tried, drawn), "possible"), sets), "first")
+    failed = met.join(first.select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_anti").select("bucket", "id")
     others = failed.join(met.select("bucket", F.col("id").alias("other")), "bucket").where("id <> other")
-    second = others.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return first.union(verified(second, some)).where("near").select("a", "b")
+    second = others.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return first.union(verified(stored(possible(second, drawn), "possible"), sets))
 
 
 def near_groups(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str = "clean_text_original", least_words: int = LEAST_WORDS) -> DataFrame:

@@ -54,3 +54,32 @@ def test_samples_meet_as_often_as_sets_are_alike():
     a, b = np.arange(0, 200), np.arange(100, 300)
     same = (s.samples(all_[a], weights[a]) == s.samples(all_[b], weights[b])).mean()
     assert abs(same - weights[100:200].sum() / weights.sum()) < 0.04
+
+
+def test_half_equal_texts_meet_though_their_own_shingles_are_rare(spark):
+    rng, own = np.random.default_rng(6), iter(range(10_000, 1_000_000))
+    rows = []
+    for i in range(300):
+        shared = rng.choice(6000, 120, replace=False)  # each in about 12 of the 600 texts
+        rows += [(2 * i + j, sorted(neardup._mix(np.array([*shared, *(next(own) for _ in range(60))], np.uint64)).view(np.int64).tolist())) for j in (0, 1)]
+    sets = spark.createDataFrame(rows, "id long, shingles array<long>")
+    placed = neardup.buckets(sets, neardup.shingle_weights(sets)).collect()
+    of = {}
+    for r in placed:
+        of.setdefault(r["id"], set()).add(r["bucket"])
+    assert sum(bool(of[2 * i] & of[2 * i + 1]) for i in range(300)) >= 0.95 * 300
+
+
+def test_sketches_leave_no_near_pair_out(spark):
+    rng, rows, pairs = np.random.default_rng(3), [], []
+    for i, n in enumerate((3, 90, 900, 9000)):
+        for j in range(5):
+            h = neardup._mix(rng.integers(1, 1 << 40, 2 * n).astype(np.uint64)).view(np.int64).tolist()
+            kept = 2 * n // 3  # of n in each: half of all
+            a = len(rows)
+            rows += [(a, h[:n]), (a + 1, h[n - kept :][:n]), (a + 2, h[n:])]
+            pairs += [(a, a + 1), (a, a + 2)]
+    sets, wanted = spark.createDataFrame(rows, "id long, shingles array<long>"), spark.createDataFrame(pairs, "a long, b long")
+    near = {tuple(r) for r in neardup.verified(wanted, sets).collect()}
+    left = {tuple(r) for r in neardup.possible(wanted, neardup.sketches(sets)).collect()}
+    assert len(near) == 20 and near <= left and (18, 20) not in left
