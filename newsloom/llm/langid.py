@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,7 @@ MISSING = ("", "und", "unknown", "n/a")
 _SCRIPTS = regex.compile(r"(?P<LATIN>\p{Latin}+)|(?P<TAMIL>\p{Tamil}+)|(?P<TELUGU>\p{Telugu}+)|(?P<DEVANAGARI>\p{Devanagari}+)|(?P<OTHER>\p{L}+)")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LINK = regex.compile(r"(?:https?://|www\.)\S+|[@#]\S+|\S+@\S+")
+_TOKEN = regex.compile(r"\S+")
 _END = regex.compile(r"[.!?।॥…]+[\"'”’»)\]]*(?:\s+|$)")
 
 
@@ -125,55 +126,71 @@ def family(text: str) -> tuple[str, float]:
     return best, n / sum(seen.values())
 
 
-def segments(line: str) -> Iterator[str]:
-    """The full sentences of a line; of text without end marks, runs of words."""
+def places(line: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, full) of each part of a line with words. full: it is a sentence, or a run of enough words without end marks; links hold no words."""
     at = 0
-    line = _LINK.sub(" ", line)
-    for m in _END.finditer(line):
-        part = line[at : m.end()].strip()
-        at = m.end()
+    line = _unlinked(line)
+    for m in [*_END.finditer(line), None]:
+        start, end, ended = at, m.end() if m else len(line), m is not None
+        at = end
+        part = line[start:end]
         n = len(_WORD.findall(part))
-        if n > 4 * RUN_WORDS:
-            yield from _runs(part)
-        elif n >= SENTENCE_WORDS:
-            yield part
-    rest = line[at:]
-    if len(_WORD.findall(rest)) >= RUN_WORDS:
-        yield from _runs(rest)
+        if not n:
+            continue
+        if n > 4 * RUN_WORDS or not ended and n >= RUN_WORDS:
+            yield from _runs(part, start)
+        else:
+            yield start + len(part) - len(part.lstrip()), start + len(part.rstrip()), ended and n >= SENTENCE_WORDS
+
+
+def _unlinked(line: str) -> str:
+    return _LINK.sub(lambda m: " " * len(m[0]), line)
+
+
+def segments(line: str) -> Iterator[str]:
+    """The full sentences of a line; of text without end marks, runs of words."""
+    line = _unlinked(line)
+    return (line[start:end] for start, end, full in places(line) if full)
 
 
-def _runs(text: str) -> Iterator[str]:
-    words = text.split()
+def _runs(text: str, at: int) -> Iterator[tuple[int, int, bool]]:
+    words = list(_TOKEN.finditer(text))
     for i in range(0, len(words), 2 * RUN_WORDS):
-        if i == 0 or len(words) - i >= RUN_WORDS:
-            yield " ".join(words[i : i + 2 * RUN_WORDS])
+        part = words[i : i + 2 * RUN_WORDS]
+        yield at + part[0].start(), at + part[-1].end(), i == 0 or len(part) >= RUN_WORDS
+
 
+def line_segments(lines: list[tuple[int, str]], known: Classifier) -> list[tuple[int, int, str, float, int, bool]]:
+    """(start, end, language, confidence, words, full) of each part of the lines, given with their places in the text."""
+    out = []
+    for at, line in lines:
+        plain = _unlinked(line)
+        for start, end, full in places(plain):
+            part = plain[start:end]
+            out.append((at + start, at + end, *known.language(part), len(_WORD.findall(part)), full))
+    return out
 
-def languages(lines: list[str], known: Classifier) -> list[tuple[str, float, int, str]]:
-    """(language, confidence, segments, first segment) of each language with a full sentence in the lines.
+
+def languages(lines: list[tuple[int, str]], parts: list[tuple[int, int, str, float, int, bool]], known: Classifier) -> list[tuple[str, float]]:
+    """(language, confidence) of each language with a full sentence in the lines, told from their segments.
 
     Where no line holds one, all words together decide; without words the language is unknown.
     """
     found: dict[str, list] = {}
-    total = words = 0
-    for line in lines:
-        for part in segments(line):
-            lang, sure = known.language(part)
-            n = len(_WORD.findall(part))
-            total, words = total + 1, words + n
-            if lang == "unknown" or sure < 0.5 * SCRIPT_SHARE + 0.2:
-                continue
-            entry = found.setdefault(lang, [0.0, 0, 0, part])
-            entry[0] += sure * n
-            entry[1] += 1
-            entry[2] += n
+    full = [p for p in parts if p[5]]
+    words = sum(p[4] for p in full)
+    for _, _, lang, sure, n, _ in full:
+        if lang == "unknown" or sure < 0.5 * SCRIPT_SHARE + 0.2:
+            continue
+        entry = found.setdefault(lang, [0.0, 0, 0])
+        entry[0] += sure * n
+        entry[1] += 1
+        entry[2] += n
     if len(lines) == 1 and words > 150:  # a page run together also holds notices in other languages
         found = {k: v for k, v in found.items() if v[2] >= RUN_ON_SHARE * words and v[1] > 1 or len(found) == 1}
     if not found:
-        text = " ".join(_LINK.sub(" ", x) for x in lines)
-        lang, sure = known.language(text)
-        return [(lang, sure, 0, "")]
-    return sorted((k, v[0] / v[2], v[1], v[3]) for k, v in found.items())
+        return [known.language(" ".join(_unlinked(x) for _, x in lines))]
+    return sorted((k, v[0] / v[2]) for k, v in found.items())
 
 
 def training_rows(samples: DataFrame) -> list[tuple[str, str]]:
@@ -182,7 +199,7 @@ def training_rows(samples: DataFrame) -> list[tuple[str, str]]:
 
 
 def article_lines(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
-    """(id, own, whole): the lines of each text, in consistent form, that aren't its source's site lines nor stand in many stories; and all lines, for texts that have no other."""
+    """(id, lines, own): the lines of each text, in consistent form, and of each whether it is neither one of its source's site lines nor stands in many stories."""
     texts, needed = texts_of_sources(items, entities, aliases, text)
     masked = lambda x: content(F.regexp_replace(x, r"\b[A-Z][a-z]+\b", ""))
     named = texts.select("id", "source_key", line_names(F.col("_text")).alias("_lines"), F.transform(F.split("_text", "\n"), lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(masked(x)).alias("m"))).alias("_masked"))
@@ -192,18 +209,21 @@ def article_lines(items: DataFrame, entities: DataFrame, aliases: DataFrame, tex
     least = named.select(F.array_max("_masked")["m"].alias("story")).agg(F.greatest(F.lit(float(LEAST_STORIES)), F.count_distinct("story") * SHARE_OF_ALL).alias("_least"))
     wide = stories.groupBy("m").agg(F.count("*").alias("n")).crossJoin(F.broadcast(least)).where("n >= _least").agg(F.collect_set("m").alias("_wide"))  # at most 500 times the lines of an item
     joined = texts.join(small(stored(common, "common"), 20_000), "source_key", "left").crossJoin(F.broadcast(stored(wide, "wide")))
-    own = F.filter(
+    own = F.transform(
         F.split("_text", "\n"),
         lambda x: ~F.array_contains(F.coalesce("_common", F.array().cast("array<long>")), F.xxhash64(content(x))) & ~F.array_contains("_wide", F.xxhash64(masked(x))),
     )
-    return joined.select("id", own.alias("own"), F.when(F.size(own) == 0, F.split("_text", "\n")).alias("whole"))
+    return joined.select("id", F.split("_text", "\n").alias("lines"), own.alias("own"))
 
 
-def item_languages(items: DataFrame, entities: DataFrame, aliases: DataFrame, samples: DataFrame, text: str = "clean_text_original") -> DataFrame:
-    """(raw_item_id, language, confidence, segments, sample): a row for each language of each text.
+def item_segments(items: DataFrame, entities: DataFrame, aliases: DataFrame, samples: DataFrame, text: str = "clean_text_original") -> DataFrame:
+    """(raw_item_id, segment, start, end, language, confidence): each segment with words of the article's own text, numbered from 1; as segment 0, each language of the item.
 
-    Null texts give no row; texts without words give unknown, with confidence 0 and no
-    segments. Repeated rows give repeated rows.
+    start and end count characters of the text in consistent form, from 0, the end not
+    included. Short sentences and rests have rows, and so do segments of low confidence,
+    but a language of the item is one with a full sentence. Null texts give no row;
+    texts without words give only segment 0, unknown with confidence 0. Repeated rows
+    give repeated rows.
     """
     rows = training_rows(samples)
 
@@ -211,14 +231,25 @@ def item_languages(items: DataFrame, entities: DataFrame, aliases: DataFrame, sa
         known = Classifier(rows)
         for f in frames:
             out = []
-            for i, own, whole in zip(f["id"], f["own"], f["whole"]):
-                lines = [x for x in own if x.strip()]
-                if not any(map(_WORD.search, lines)) and whole is not None:
-                    lines = [x for x in whole if x.strip()]
-                out += [(i, *found) for found in languages(lines, known)]
-            yield pd.DataFrame(out, columns=["raw_item_id", "language", "confidence", "segments", "sample"])
-
-    return article_lines(items, entities, aliases, text).mapInPandas(work, "raw_item_id long, language string, confidence double, segments int, sample string")
+            for i, lines, own in zip(f["id"], f["lines"], f["own"]):
+                if lines is None:
+                    continue
+                starts = [0, *accumulate(len(x) + 1 for x in lines)]
+                every = [(at, x) for at, x in zip(starts, lines) if x.strip()]
+                kept = [(at, x) for at, x, mine in zip(starts, lines, own) if mine and x.strip()]
+                if not any(_WORD.search(x) for _, x in kept):
+                    kept = every if not any(own) else kept
+                parts = line_segments(kept, known)
+                out += [(i, 0, 0, starts[-1] - 1, *found) for found in languages(kept, parts, known)]
+                out += [(i, n, *p[:4]) for n, p in enumerate(parts, 1)]
+            yield pd.DataFrame(out, columns=["raw_item_id", "segment", "start", "end", "language", "confidence"])
+
+    return article_lines(items, entities, aliases, text).mapInPandas(work, "raw_item_id long, segment int, start int, end int, language string, confidence double")
+
+
+def item_languages(items: DataFrame, entities: DataFrame, aliases: DataFrame, samples: DataFrame, text: str = "clean_text_original") -> DataFrame:
+    """(raw_item_id, language, confidence): a row for each language of each text; the rows of its segment 0."""
+    return item_segments(items, entities, aliases, samples, text).where("segment = 0").select("raw_item_id", "language", "confidence")
 
 
 def wrong_labels(items: DataFrame, found: DataFrame) -> DataFrame:

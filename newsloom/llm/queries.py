@@ -67,7 +67,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.item_languages(*_sources(spark, sf_dir), table(spark, sf_dir, "lang_samples"))
+    """The segments of every text, and as segment 0 the languages of the item."""
+    return langid.item_segments(*_sources(spark, sf_dir), table(spark, sf_dir, "lang_samples"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
