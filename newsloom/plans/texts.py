@@ -133,9 +133,9 @@ def cls18_quality_audit(t: Tables) -> DataFrame:
 
 @query()
 def cls14_detected_districts(t: Tables) -> DataFrame:
-    """The district that a text names first; the names come from the entities, a table of fixed size (at most 2,000 aliases are taken)."""
+    """The district that a text names first; the names come from the entities, a table of fixed size; all aliases are taken."""
     kept = t.entities.where("entity_type = 'district'").select(F.col("id").alias("entity_id"), "canonical_name")
-    names = {r["alias"]: r["canonical_name"] for r in t.entity_aliases.join(kept, "entity_id").select("alias", "canonical_name").orderBy("alias").limit(2_000).collect()}
+    names = {r["alias"]: r["canonical_name"] for r in t.entity_aliases.join(kept, "entity_id").select("alias", "canonical_name").orderBy("alias").collect()}
     if not names:
         return t.documents.select("doc_id", F.lit(None).cast("string").alias("district"))
     return t.documents.select("doc_id", rules.located(F.coalesce("text", F.lit("")), names).alias("district"))
