@@ -42,25 +42,29 @@ def _units(text: str, a: int, b: int, most: int, level: int = 0) -> Iterator[tup
         yield from _units(text, start, b, most, level + 1)
 
 
-def _overlap(text: str, end: int, least: int) -> int:
-    """Where the piece after one that ends at `end` starts, not before `least`: at a sentence, else a word, else at `end`."""
+def _overlap(text: str, least: int, end: int) -> int:
+    """Where the piece after one that ends at `end` starts, not before `least`: after the first line, else sentence, else word that ends in between, else at `least`, a character boundary."""
     for pattern in _separators()[1:]:
         for m in pattern.finditer(text, least, end):
             if m.end() < end:
                 return m.end()
-    return end
+    return least
 
 
 def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(start, end) of the pieces: each at most `limit` long, starting at most `overlap` before the end of the one before; together they cover the text."""
+    """(start, end) of the pieces: each at most `limit` long, starting 1 to `overlap` characters before the end of the one before; together they cover the text.
+
+    Units have at most limit - overlap characters, so that one always fits behind the
+    overlap; a piece of one character repeats nothing. overlap must be less than limit.
+    """
     if len(text) <= limit:
         return [(0, len(text))] if text else []
     out: list[tuple[int, int]] = []
     start = end = 0
-    for _, b in _units(text, 0, len(text), limit):
+    for _, b in _units(text, 0, len(text), limit - overlap):
         if b - start > limit:
             out.append((start, end))
-            start = _overlap(text, end, max(end - overlap, b - limit, start + 1))
+            start = _overlap(text, max(end - overlap, start + 1), end) if overlap else end
         end = b
     out.append((start, end))
     return out

@@ -12,6 +12,18 @@ def test_round_trip(text, limit, overlap):
     assert "".join(text[a if n == 0 else max(a, out[n - 1][1]) : b] for n, (a, b) in enumerate(out)) == text
     for (a, b), (c, d) in zip(out, out[1:]):
         assert a < c <= b <= c + overlap and d > b
+        assert c < b or not overlap or b - a == 1
+
+
+def test_overlap_falls_through_the_hierarchy():
+    out = pieces.spans("x" * 5000)
+    assert all(b - c == 200 for (_, b), (c, _) in zip(out, out[1:]))
+    words = "abcdefghi " * 300
+    out = pieces.spans(words)
+    assert all(0 < b - c <= 200 and words[c - 1] == " " for (_, b), (c, _) in zip(out, out[1:]))
+    long = "One sentence of words " * 53 + "ends. " + "Then " * 236 + "it ends. " + "And more. " * 10
+    out = pieces.spans(long)
+    assert all(0 < b - c <= 200 for (_, b), (c, _) in zip(out, out[1:]))
 
 
 def test_boundaries(spark):
