@@ -34,6 +34,8 @@ LETTER_COST = 2
 # Signs that are at home in any language.
 SIGNS = "“”‘’„…–—₹€£$°²³½¼¾©®™«»·•§✅⚠"
 DEFAULT_LANGUAGE = "none"
+#: Sample rows that the dictionaries are made from, at most.
+DICTIONARY_ROWS = 20_000
 
 
 @cache
@@ -108,7 +110,7 @@ class Repairer:
         contents = ["\n".join(texts).encode() for _, texts in sorted(by.items())] or [b" " * 8]
         self.compressors = []
         for content in contents:
-            d = zstandard.ZstdCompressionDict(content[: 1 << 17], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=3)
             self.compressors.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
@@ -163,9 +165,9 @@ class Repairer:
         return "".join([*out, text[at:]]), ",".join(chains)
 
 
-def language_samples(samples: DataFrame) -> list[tuple[str, str]]:
-    """The sample texts of the languages, from a table of fixed size; at most 5,000 rows are read."""
-    rows = samples.where("text is not null").select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h").limit(5_000).collect()
+def language_samples(samples: DataFrame, most: int = DICTIONARY_ROWS) -> list[tuple[str, str]]:
+    """The sample texts that the dictionaries are made from: `most` rows at most, drawn by hash; the whole of each."""
+    rows = samples.where("text is not null").select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h").limit(most).collect()
     return sorted((r["lang"] or DEFAULT_LANGUAGE, r["text"]) for r in rows)
 
 
@@ -173,7 +175,8 @@ def repair(texts: DataFrame, samples: DataFrame, key: str = "doc_id", text: str
     """(key, text_new, chain, broken) for the texts with a candidate decoding or a broken character.
 
     chain is empty where the text stays; broken says that signs of garbling are left,
-    so the original can't be brought back whole. Texts without any such sign, null and
+    so the original can't be brought back whole; such a text is found by those signs,
+    the sign of a lost character or a control character, and by no description length. Texts without any such sign, null and
     empty ones give no row. Repeated rows give a row each.
     """
     pairs = language_samples(samples)
