@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small, stored
 from .forest import spanning_forest
 from .identity import with_identity
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: Parts of a size band that are sorted apart from each other, so that no task gets a whole band.
-BAND_PARTS = 64
+#: Groups of a size band that are sorted together, about; a band has as many such parts as it needs.
+PART_GROUPS = 100_000
+#: Share of all items from which a group is placed by itself.
+HEAVY = 0.002
 
 
 def item_groups(items: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -44,31 +47,49 @@ def labelled_groups(items: DataFrame, labels: DataFrame, entities: DataFrame, al
 def split_groups(sizes: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
     """Deals groups (group_first_id, n) to splits: adds `split`.
 
-    Bands are powers of two of the size. Within a band each group takes as much of a
-    line as it has items, in an order drawn by hash; the line is dealt in turns of ten
-    of the band's usual groups. A group of more than a tenth of all items goes to the
-    first split, as no other could hold it. Ties go by group id.
+    Groups of at least HEAVY of all items, 1 / HEAVY of them at most, go one by one, the
+    largest first, to the split that lacks most items. The others are dealt in bands, the
+    powers of two of their size: within a band each group takes as much of a line as it
+    has items, in an order drawn by hash; the line is dealt in turns of ten of the band's
+    usual groups, in proportion to what the splits still lack. Ties go by group id, and
+    of splits to the one named first. Groups without items count as having one; an empty
+    input gives an empty result.
     """
-    total = sizes.agg(F.sum("n").alias("_all"))
-    band = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    parted = sizes.withColumn("_band", band).withColumn("_h", F.xxhash64("group_first_id")).withColumn("_part", F.pmod("_h", F.lit(BAND_PARTS)))
-    per = parted.groupBy("_band", "_part").agg(F.sum("n").alias("_sum"))
-    starts = per.withColumn("_start", F.sum("_sum").over(Window.partitionBy("_band").orderBy("_part")) - F.col("_sum")).drop("_sum")  # at most 64 parts of 64 bands
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    names = list(shares)
+    lacks = {name: shares[name] * total for name in names}
+    heavy = {}
+    for r in sizes.where(F.col("n") >= HEAVY * total).orderBy(F.desc("n"), "group_first_id").collect() if total else ():
+        name = max(names, key=lambda x: lacks[x])
+        heavy[r["group_first_id"]] = name
+        lacks[name] -= r["n"]
+    left = {name: max(0.0, v) for name, v in lacks.items()}
+    whole = sum(left.values()) or 1.0
+    ids = {name: [g for g, x in heavy.items() if x == name] for name in names}
+    first = F.coalesce(*[F.when(F.col("group_first_id").isin(ids[name]), name) for name in names if ids[name]], F.lit(None).cast("string"))
+
+    band = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double"))).cast("int")
+    parted = sizes.withColumns({"_band": band, "_h": F.xxhash64("group_first_id"), "_heavy": first})
+    light = parted.where("_heavy is null")
+    parts = light.groupBy("_band").agg(F.ceil(F.count("*") / PART_GROUPS).alias("_parts"))  # at most 64 bands
+    light = light.join(F.broadcast(parts), "_band").withColumn("_part", F.pmod("_h", F.col("_parts")))
+    per = light.groupBy("_band", "_part").agg(F.sum("n").alias("_sum"))
+    starts = per.withColumn("_start", F.sum("_sum").over(Window.partitionBy("_band").orderBy("_part")) - F.col("_sum")).drop("_sum")  # a row for PART_GROUPS groups
     own = Window.partitionBy("_band", "_part").orderBy("_h", "group_first_id")
-    placed = parted.join(F.broadcast(starts), ["_band", "_part"]).withColumn("_mid", F.col("_start") + F.sum("n").over(own) - F.col("n") / 2)
+    placed = light.join(small(starts), ["_band", "_part"]).withColumn("_mid", F.col("_start") + F.sum("n").over(own) - F.col("n") / 2)
     turn = F.pmod(F.col("_mid") / (F.pow(F.lit(2.0), F.col("_band")) * 1.5 * 10) + F.pmod(F.xxhash64(F.col("_band")), F.lit(97)) / 97.0, F.lit(1.0))
-    names, split, low = list(shares), None, 0.0
+    split, low = None, 0.0
     for name in names[:-1]:
-        low += shares[name]
+        low += left[name] / whole
         split = F.when(turn < low, name) if split is None else split.when(turn < low, name)
     split = split.otherwise(names[-1])
-    placed = placed.crossJoin(F.broadcast(total))  # one row
-    least = min(shares.values())
-    return placed.withColumn("split", F.when(F.col("n") > least * F.col("_all"), names[0]).otherwise(split)).select(*sizes.columns, "split")
+    dealt = placed.withColumn("split", split).select(*sizes.columns, "split")
+    return dealt.union(parted.where("_heavy is not null").withColumn("split", F.col("_heavy")).select(*sizes.columns, "split"))
 
 
 def assign_splits(items: DataFrame, labels: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(raw_item_id, group_first_id, split): one row per labelled item."""
     grouped = labelled_groups(items, labels, entities, aliases)
-    sizes = grouped.groupBy("group_first_id").agg(F.count("*").alias("n"))
+    grouped = stored(grouped, "grouped")
+    sizes = stored(grouped.groupBy("group_first_id").agg(F.count("*").alias("n")), "sizes")
     return grouped.join(split_groups(sizes).drop("n"), "group_first_id").select("raw_item_id", "group_first_id", "split")

@@ -62,4 +62,8 @@ def test_shares_of_many_groups(spark):
     total = out.agg(F.sum("n")).first()[0]
     share = {r["split"]: r["s"] / total for r in out.groupBy("split").agg(F.sum("n").alias("s")).collect()}
     assert out.count() == 6000 and all(abs(share[k] - v) < 0.02 for k, v in splits.SHARES.items())
+    mixed = spark.createDataFrame([(1, 3000), (2, 900), (3, 800), *((i, 1 + i % 5) for i in range(10, 1800))], "group_first_id long, n long")
+    rows = {r["split"]: r["s"] for r in splits.split_groups(mixed).groupBy("split").agg(F.sum("n").alias("s")).collect()}
+    assert all(abs(rows[k] / sum(rows.values()) - v) < 0.02 for k, v in splits.SHARES.items())
+    assert splits.split_groups(sizes.limit(0)).count() == 0
     assert splits.split_groups(spark.createDataFrame([(1, 900), (2, 1)], "group_first_id long, n long")).where("group_first_id = 1").first()["split"] == "train"
