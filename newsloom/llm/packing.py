@@ -4,7 +4,8 @@ Method: bound-certified repacking. Documents are packed in groups by best fit de
 Dual feasible functions give each group a number of containers below which no packing
 goes; a group that meets it is certified and done. Groups with a gap release the
 documents of containers that aren't full, exchange them with other such groups, and run
-again, in fewer and fewer groups.
+again, in fewer and fewer groups, until no gap is left or the gaps no longer shrink.
+What bound, containers and gap each group had is part of the result.
 """
 
 from __future__ import annotations
@@ -46,22 +47,23 @@ class TokenCounter:
         return len(self.encoding.encode_ordinary(text))
 
 
-def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Containers that any packing needs at least, by dual feasible functions: total size, the threshold functions for each threshold, and the rounding functions."""
+def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY, times: np.ndarray | None = None) -> int:
+    """Containers that any packing needs at least, by dual feasible functions: total size, the threshold functions for each threshold, and the rounding functions. times: how often each size occurs, once if not given."""
     if not len(sizes):
         return 0
-    best = math.ceil(sizes.sum() / capacity)
-    count = np.bincount(sizes, minlength=capacity + 1)
+    times = np.ones(len(sizes), np.int64) if times is None else times
+    count = np.bincount(sizes, weights=times, minlength=capacity + 1).astype(np.int64)
+    best = -(-int((sizes * times).sum()) // capacity)
     number, weight = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     for a in range(1, capacity // 2 + 1):  # sizes above capacity - a fill a container, those below a count nothing
         big = number[capacity] - number[capacity - a]
         middle = weight[capacity - a] - weight[a - 1]
-        best = max(best, int(big + math.ceil(middle / capacity)))
-    x = sizes.astype(np.int64)
+        best = max(best, int(big) - (-int(middle) // capacity))
+    x = np.arange(capacity + 1)
     for k in range(1, 40):
         scaled = (k + 1) * x
         value = np.where(scaled % capacity == 0, x * k, (scaled // capacity) * capacity)  # k * u(x)
-        best = max(best, math.ceil(int(value.sum()) / (k * capacity)))
+        best = max(best, -(-int((value * count).sum()) // (k * capacity)))
     return best
 
 
@@ -109,48 +111,68 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str = TOKENIZER, pa
 
 
 def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """(container, key, piece_no, first_token, tokens): the pieces of the documents and where they go.
+    """(container, key, piece_no, first_token, tokens, partition, bound, used, certified): the pieces of the documents and where they go.
 
     sizes: key and tokens. A document of at most `capacity` tokens is one piece; a larger
     one is cut into full containers and a rest. Groups are drawn by hash, so a hot key
-    can't fill one, and stay near `group` documents in every round. The last round is
-    the one with a single group, or before which less than half of the documents were
-    settled. Rows with null or no tokens are left out.
+    can't fill one, and stay near `group` documents in every round. partition names the
+    round and group that filled the container, bound is the number of containers that the
+    pieces it then held need at least, used the number it took; certified says that the
+    two are equal. Full containers are certified by themselves (partition "full"). Rounds
+    end when all groups are certified, or when neither the number of groups nor the sum
+    of the gaps has gone down. Rows with null or no tokens are left out.
     """
     kept = sizes.select(key, "tokens").where("tokens > 0")
     cut = kept.select(key, F.col("tokens").alias("_all"), F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / capacity))).alias("piece_no", "_at"))
     cut = cut.select(key, (F.col("piece_no") + 1).alias("piece_no"), (F.col("_at") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("_all") - F.col("_at") * capacity).alias("tokens"))
     pieces = stored(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    done = pieces.where(F.col("tokens") == capacity).select(F.concat(F.lit("f-"), F.col("_row").cast("string")).alias("container"), key, "piece_no", "first_token", "tokens")
+    out = ["container", key, "piece_no", "first_token", "tokens", "partition", "bound", "used", "certified"]
+    one = F.lit(1).cast("long")
+    done = pieces.where(F.col("tokens") == capacity).select(F.concat(F.lit("f-"), F.col("_row").cast("string")).alias("container"), key, "piece_no", "first_token", "tokens", F.lit("full").alias("partition"), one.alias("bound"), one.alias("used"), F.lit(True).alias("certified"))
     rest = pieces.where(F.col("tokens") < capacity)
-    left, turn, last = rest.count(), 0, False
-    schema = f"container string, {key} {sizes.schema[key].dataType.simpleString()}, piece_no int, first_token long, tokens long, _row long, _done boolean"
+    left, turn, gap, number = rest.count(), 0, None, None
+    schema = f"container string, {key} {sizes.schema[key].dataType.simpleString()}, piece_no int, first_token long, tokens long, partition string, bound long, used long, certified boolean, _row long, _full boolean"
     while left:
         groups = max(1, math.ceil(left / group))
-        last = last or groups == 1
         grouped = rest.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(groups)))
-        filled = stored(grouped.groupBy("_group").applyInPandas(_filler(key, turn, last, capacity), schema), "filled")
-        done = done.union(filled.where("_done").select("container", key, "piece_no", "first_token", "tokens"))
-        rest = filled.where("not _done").drop("container", "_done")
-        before, left, turn = left, rest.count(), turn + 1
-        last = left > before / 2
+        filled = stored(grouped.groupBy("_group").applyInPandas(_filler(key, turn, capacity), schema), "filled")
+        now = filled.select("partition", "bound", "used").distinct().agg(F.sum(F.col("used") - F.col("bound"))).first()[0]  # a row for each group
+        if gap is not None and (number, gap) <= (groups, now) or now == 0 or groups == 1:
+            return done.union(filled.select(*out))
+        settled = F.col("certified") | F.col("_full")
+        done = done.union(filled.where(settled).select(*out))
+        rest = filled.where(~settled).select(key, "piece_no", "first_token", "tokens", "_row")
+        left, turn, gap, number = rest.count(), turn + 1, now, groups
     return done
 
 
-def _filler(key: str, turn: int, last: bool, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _filler(key: str, turn: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fill(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("_row", kind="stable").reset_index(drop=True)
         n = f["tokens"].to_numpy(np.int64)
         box = best_fit(n, capacity)
         used = np.bincount(box, weights=n)
-        certified = len(used) == lower_bound(n, capacity)
         f["container"] = [f"{turn}-{g}-{b}" for g, b in zip(f["_group"], box)]
-        f["_done"] = True if certified or last else used[box] >= FULL * capacity
-        return f[["container", key, "piece_no", "first_token", "tokens", "_row", "_done"]]
+        f["partition"] = [f"{turn}-{g}" for g in f["_group"]]
+        f["bound"], f["used"] = lower_bound(n, capacity), len(used)
+        f["certified"] = f["bound"] == f["used"]
+        f["_full"] = used[box] >= FULL * capacity
+        return f[["container", key, "piece_no", "first_token", "tokens", "partition", "bound", "used", "certified", "_row", "_full"]]
 
     return fill
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(partition, containers, bound, gap, certified): for each partition the containers it kept, the bound and gap when it was filled; and for all of them, named "all", the bound over all pieces from the counts of their sizes."""
+    each = packed.groupBy("partition").agg(F.count_distinct("container").alias("containers"), F.max("bound").alias("bound"), (F.max("used") - F.max("bound")).alias("gap"), F.first("certified").alias("certified"))
+    each = each.withColumn("bound", F.when(F.col("partition") == "full", F.col("containers")).otherwise(F.col("bound")))
+    counts = packed.groupBy("tokens").agg(F.count("*").alias("n")).collect()  # at most as many rows as the capacity
+    bound = lower_bound(np.array([r["tokens"] for r in counts], np.int64), capacity, np.array([r["n"] for r in counts], np.int64))
+    total = packed.agg(F.count_distinct("container").alias("containers")).select(F.lit("all").alias("partition"), "containers", F.lit(bound).cast("long").alias("bound"))
+    gap = F.col("containers") - F.col("bound")
+    return each.union(total.select("partition", "containers", "bound", gap.alias("gap"), (gap == 0).alias("certified")))
+
+
 def containers(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str = TOKENIZER) -> DataFrame:
     """`pack` of the texts by their tokens."""
     return pack(stored(token_counts(docs, key, text, path), "tokens"), key, capacity)

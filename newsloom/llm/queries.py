@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stored, table
 from . import garbled, langid, leakage, mainbody, neardup, packing, pieces, sitelines, splits, textform
 
 
@@ -96,6 +96,11 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.containers(table(spark, sf_dir, "documents"))
 
 
+def p8_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers each partition took, and fewer than how many it can't."""
+    return packing.certificate(stored(packing.containers(table(spark, sf_dir, "documents")), "packed"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(*(table(spark, sf_dir, t) for t in ("documents", "eval_items", "lang_samples")))
 
@@ -109,7 +114,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples")).withColumnRenamed("text_new", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p5_found, p5_languages, p6_found, p6_bodies, p7_found, p7_groups, p8_containers, p9_found, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consistent, p2_found, p2_splits, p3_found, p3_clean, p4_found, p4_pieces, p5_found, p5_languages, p6_found, p6_bodies, p7_found, p7_groups, p8_containers, p8_certificate, p9_found, p10_found, p10_restored)}
 def _fold(c: str) -> str:
     return f"nullif(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '')"
 

@@ -40,6 +40,10 @@ def test_whole_and_full(spark):
     assert all(len(g) == -(-whole[i] // 2048) for i, g in out.groupby("doc_id"))
     assert out.container.nunique() <= 1.02 * sum(whole.values()) / 2048 + 2
     assert packing.pack(spark.createDataFrame([], "doc_id long, tokens long")).count() == 0
+    assert all((f.certified == (f.bound == f.used)).all() and f.bound.nunique() == 1 for _, f in out.groupby("partition"))
+    proof = {r["partition"]: r for r in packing.certificate(spark.createDataFrame(out)).collect()}
+    assert proof["all"]["containers"] == out.container.nunique() and 0 <= proof["all"]["gap"] <= 10
+    assert proof["all"]["bound"] == packing.lower_bound(out.tokens.to_numpy())
 
 
 def test_tokens(spark):
