@@ -56,18 +56,42 @@ def test_samples_meet_as_often_as_sets_are_alike():
     assert abs(same - weights[100:200].sum() / weights.sum()) < 0.04
 
 
-def test_half_equal_texts_meet_though_their_own_shingles_are_rare(spark):
-    rng, own = np.random.default_rng(6), iter(range(10_000, 1_000_000))
-    rows = []
-    for i in range(300):
-        shared = rng.choice(6000, 120, replace=False)  # each in about 12 of the 600 texts
-        rows += [(2 * i + j, sorted(neardup._mix(np.array([*shared, *(next(own) for _ in range(60))], np.uint64)).view(np.int64).tolist())) for j in (0, 1)]
-    sets = spark.createDataFrame(rows, "id long, shingles array<long>")
-    placed = neardup.buckets(sets, neardup.shingle_weights(sets)).collect()
-    of = {}
-    for r in placed:
-        of.setdefault(r["id"], set()).add(r["bucket"])
-    assert sum(bool(of[2 * i] & of[2 * i + 1]) for i in range(300)) >= 0.95 * 300
+def frame(spark, sets):
+    rows = [(i, sorted(s), bytes(len(s))) for i, s in sets]
+    return spark.createDataFrame(rows, "id long, shingles array<long>, again binary")
+
+
+def test_recall_of_pairs_by_overlap(spark):
+    """Pairs of exact overlaps, their shared shingles in 2, in about 20 and in a third of the texts."""
+    rng, own = np.random.default_rng(6), iter(range(1_000_000, 9_000_000))
+    hashed = lambda x: neardup._mix(np.array(x, np.uint64)).view(np.int64).tolist()
+    hot = list(range(500_000, 500_120))
+    met = {}
+    sets, kind = [], {}
+    for i in range(600):
+        where, of = i % 3, (0.5, 0.55, 0.6)[i // 3 % 3]
+        shared = [next(own) for _ in range(120)] if where == 0 else rng.choice(3600, 120, replace=False).tolist() if where == 1 else hot
+        alone = round(120 * (1 - of) / of / 2)
+        for j in (0, 1):
+            sets.append((2 * i + j, hashed([*shared, *(next(own) for _ in range(alone))])))
+        kind[i] = (where, of)
+    df = frame(spark, sets)
+    weights = neardup.shingle_weights(df)
+    assert len(weights.shingles) and weights.weights.min() >= 1 and weights.weights.max() <= 1 + neardup.RARE
+    placed = {}
+    for r in neardup.buckets(df, weights).collect():
+        placed.setdefault(r["id"], set()).add(r["bucket"])
+    for i, k in kind.items():
+        met.setdefault(k, []).append(bool(placed[2 * i] & placed[2 * i + 1]))
+    assert all(np.mean(v) >= 0.95 for v in met.values()) and np.mean(sum(met.values(), [])) >= 0.99
+
+
+def test_weighted_similarity_goes_with_the_link(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3], bytes([0, 0, 1])), (2, [2, 3, 4], bytes([0, 0, 0])), (3, [7, 8], bytes(2))], "id long, shingles array<long>, again binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    got = neardup.verified(pairs, df, neardup.Weights(np.array([3]), np.array([3.0]), 3)).collect()
+    rare = 1 + neardup.RARE
+    assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and abs(got[0]["weighted"] - (rare + 1) / (3 * rare + 1.1)) < 1e-5
 
 
 def test_sketches_leave_no_near_pair_out(spark):
@@ -79,7 +103,7 @@ def test_sketches_leave_no_near_pair_out(spark):
             a = len(rows)
             rows += [(a, h[:n]), (a + 1, h[n - kept :][:n]), (a + 2, h[n:])]
             pairs += [(a, a + 1), (a, a + 2)]
-    sets, wanted = spark.createDataFrame(rows, "id long, shingles array<long>"), spark.createDataFrame(pairs, "a long, b long")
-    near = {tuple(r) for r in neardup.verified(wanted, sets).collect()}
+    sets, wanted = frame(spark, rows), spark.createDataFrame(pairs, "a long, b long")
+    near = {(r["a"], r["b"]) for r in neardup.verified(wanted, sets, neardup.shingle_weights(sets)).collect()}
     left = {tuple(r) for r in neardup.possible(wanted, neardup.sketches(sets)).collect()}
     assert len(near) == 20 and near <= left and (18, 20) not in left
