@@ -2,8 +2,9 @@
 
 Method: winnowing. Of the hashes of all k-grams of words the least of each window of w
 is kept, so each shared run of at least w + k - 1 words shares a kept hash. The
-fingerprints of a block of items are sent to all tasks and met by those of each
-document; hits are extended, across changed words, to the longest tolerated passage.
+fingerprints of documents and items are joined, however many items there are; documents
+without any are told by a filter of fixed size beforehand. The pairs that meet are
+extended, across changed words, to the longest tolerated passage.
 """
 
 from __future__ import annotations
@@ -11,19 +12,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import salted_join, stored
 from . import garbled
 
-K, WINDOW = 3, 3
+K, WINDOW = 4, 2
 #: A passage counts from so many words of the item, with at most one edit to so many words.
 LEAST_WORDS, WORDS_PER_EDIT = 15, 8
 #: Words at either end of a passage that are tried beyond the outermost shared k-grams.
-FLANK = 6
-#: Items that are sent to the tasks at once; more are worked off in blocks, a pass over the documents for each.
-BLOCK = 20_000
+FLANK = 2 * K
+#: Bits of the filter that tells which fingerprints no item has.
+FILTER_BITS = 1 << 25
 
 
 def word_hashes(text: Column) -> Column:
@@ -79,24 +82,27 @@ def _edits(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     return min(row[-1], limit + 1)
 
 
-def _flank(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """For each number of first words of a, the edits to the nearest first words of b."""
+def _flank(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(n, edits): for each number n of first words of a, the last of which is found unchanged, the edits to the nearest first words of b that end in it; (0, 0) too."""
     a, b = a.tolist(), b.tolist()
-    row, out = list(range(len(b) + 1)), [0]
+    row, out = list(range(len(b) + 1)), [(0, 0)]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
+        last, row[0], ends = row[0], i, []
         for j, y in enumerate(b, 1):
             keep = row[j]
+            if x == y:
+                ends.append(last)
             row[j] = min(keep + 1, row[j - 1] + 1, last + (x != y))
             last = keep
-        out.append(min(row))
+        if ends:
+            out.append((i, min(ends)))
     return out
 
 
 def leaks(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray) -> bool:
     """Whether the doc repeats a passage of the item. at_item, at_doc: the starts of all shared k-grams."""
     places = np.unique(at_item)
-    # A passage of L words with L // 8 edits shares at least L - 2 - 3 * (L // 8) three-word sequences: 8 of 14 where it is fewest.
+    # A passage of L words with L // 8 edits shares at least L - (K - 1) - K * (L // 8) k-grams, fewest for two edits in 16 words.
     least, span = LEAST_WORDS + 1 - (K - 1) - K * ((LEAST_WORDS + 1) // WORDS_PER_EDIT), LEAST_WORDS + 1 - (K - 1)
     if len(places) < least or not (places[least - 1 :] - places[: len(places) - least + 1] < span).any():
         return False
@@ -129,87 +135,133 @@ def leaks(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.nda
                 i0, d0, i9, d9 = *runs[start][:2], i1 + n1, d1 + n1
                 left = _flank(item[max(0, i0 - FLANK) : i0][::-1], doc[max(0, d0 - FLANK) : d0][::-1])
                 right = _flank(item[i9 : i9 + FLANK], doc[d9 : d9 + FLANK])
-                for f, cf in enumerate(left):
-                    for h, ch in enumerate(right):
+                for f, cf in left:
+                    for h, ch in right:
                         n = words + f + h
                         if n >= LEAST_WORDS and c + cf + ch <= n // WORDS_PER_EDIT:
                             return True
     return False
 
 
-class Index:
-    """The fingerprints of a block of items."""
-
-    def __init__(self, ids: list[int], words: list[list[int]]) -> None:
-        self.ids = ids
-        self.words = [np.array(w, np.int64) for w in words]
-        offsets = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
-        flat = np.concatenate([*self.words, np.zeros(0, np.int64)])
-        grams = _grams(flat, offsets)
-        owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        place = np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))
-        self.kept = np.unique(grams[_kept(grams, offsets)])
-        valid = np.flatnonzero(grams != np.iinfo(np.uint64).max)
-        order = valid[np.argsort(grams[valid], kind="stable")]
-        self.grams, self.owner, self.place = grams[order], owner[order], place[order]
-
-    def found(self, words: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-        """(number of the text, item id) of the leaks in a batch of texts."""
-        if not len(self.kept) or not len(words):
-            return []
-        grams = _grams(words, offsets)
-        kept = _kept(grams, offsets)
-        slot = np.minimum(np.searchsorted(self.kept, grams[kept]), len(self.kept) - 1)
-        hits = kept[self.kept[slot] == grams[kept]]
-        texts = np.unique(np.searchsorted(offsets, hits, side="right") - 1)
-        out = []
-        for t in texts:
-            lo, hi = offsets[t], offsets[t + 1]
-            left, right = np.searchsorted(self.grams, grams[lo:hi], side="left"), np.searchsorted(self.grams, grams[lo:hi], side="right")
-            some = np.flatnonzero(right > left)
-            counts = (right - left)[some]
-            at_doc = np.repeat(some, counts)
-            where = np.repeat(left[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            owner, place = self.owner[where], self.place[where]
-            order = np.argsort(owner, kind="stable")
-            owner, place, at_doc = owner[order], place[order], at_doc[order]
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(owner)]):
-                if leaks(self.words[owner[a]], words[lo:hi], place[a:b], at_doc[a:b]):
-                    out.append((int(t), self.ids[owner[a]]))
-        return out
+def _fingerprints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The kept hashes of a batch of texts given as words, and the number of the text of each."""
+    lists = batch.column("words")
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    words = np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64)
+    offsets = offsets - offsets[0]
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams = _grams(words, offsets)
+    kept = _kept(grams, offsets)
+    return grams[kept].view(np.int64), np.searchsorted(offsets, kept, side="right") - 1
+
+
+def _slots(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = prints.view(np.uint64)
+    return (h % np.uint64(FILTER_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def item_filter(prints: DataFrame) -> np.ndarray:
+    """The filter: two bits set for each fingerprint (print). Each task sets bits of an array of fixed size; pieces are united before they reach the driver."""
+    pieces = 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for slots in _slots(np.asarray(batch.column("print")).astype(np.int64)):
+                on[slots] = True
+        if on.any():
+            parts = [np.packbits(x).tobytes() for x in np.split(on, pieces)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "bits"])
+
+    def unite(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on = None
+        for f in frames:
+            for b in f["bits"]:
+                one = np.frombuffer(b, np.uint8)
+                on = one if on is None else on | one
+        yield pd.DataFrame({"piece": [key[0]], "bits": [on.tobytes()]})
+
+    rows = prints.select("print").coalesce(64).mapInArrow(mark, "piece int, bits binary").groupBy("piece").applyInPandas(unite, "piece int, bits binary").collect()
+    out = np.zeros((pieces, FILTER_BITS // 8 // pieces), np.uint8)
+    for r in rows:
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def meeting(docs: DataFrame, items: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, item_id): the documents and items that share a fingerprint; and (key, words) of these documents. docs: key and words; items: item_id and words.
+
+    The words of documents are hashed once; only documents with a fingerprint that the
+    filter lets pass are kept. A fingerprint may be hot, so it is joined salted.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, at = _fingerprints(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(at)), pa.array(prints)], names=["item_id", "print"])
+
+    prints = stored(items.mapInArrow(of_items, "item_id long, print long").distinct(), "itemprints")
+    sent = docs.sparkSession.sparkContext.broadcast(item_filter(prints))  # 4 MB, whatever the input
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            found, at = _fingerprints(batch)
+            keep = np.ones(len(found), bool)
+            for slots in _slots(found):
+                keep &= (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 > 0
+            pairs = np.unique(np.stack([at[keep], found[keep]]), axis=1) if keep.any() else np.zeros((2, 0), np.int64)
+            rows, counts = np.unique(pairs[0], return_counts=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(pairs[1]))
+            took = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([took.column(key), took.column("words"), lists], names=[key, "words", "prints"])
+
+    held = stored(docs.select(key, "words").mapInArrow(of_docs, f"{key} {kind}, words array<long>, prints array<long>"), "docprints")
+    pairs = salted_join(held.select(key, F.explode("prints").alias("print")), prints, ["print"], F.col(key)).select(key, "item_id").distinct()
+    return stored(pairs, "pairs"), held.select(key, "words")
+
+
+def extended(pairs: DataFrame, docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """The pairs (key, item_id) of which the document repeats a passage. An item may meet very many documents: it is joined salted."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, good = batch.num_rows, np.zeros(batch.num_rows, bool)
+            item, doc = batch.column("item"), batch.column("words")
+            for i in range(n):
+                a, b = (np.asarray(c[i].values).astype(np.int64) for c in (item, doc))
+                ga, gb = (_grams(x, np.array([0, len(x)])) for x in (a, b))
+                none = np.iinfo(np.uint64).max
+                order = np.argsort(ga[ga != none], kind="stable")
+                known = ga[ga != none][order]
+                left, right = np.searchsorted(known, gb, side="left"), np.searchsorted(known, gb, side="right")
+                some = np.flatnonzero((right > left) & (gb != none))
+                if len(some):
+                    counts = (right - left)[some]
+                    at_doc = np.repeat(some, counts)
+                    where = np.repeat(left[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+                    good[i] = leaks(a, b, np.flatnonzero(ga != none)[order][where], at_doc)
+            yield batch.select([key, "item_id"]).filter(pa.array(good))
+
+    both = pairs.join(docs, key)
+    both = salted_join(both, items.withColumnRenamed("words", "item"), ["item_id"], F.col(key))
+    return both.select(key, "item_id", "words", "item").mapInArrow(work, f"{key} {kind}, item_id long")
 
 
 def leaked(docs: DataFrame, items: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id): each document with each item of which it repeats a passage.
 
-    Garbled texts are restored first. Items shorter than LEAST_WORDS words, null and
-    empty texts give no row. Repeated rows give a row once. Items are taken in blocks
-    of BLOCK, so what is sent to the tasks is bounded; the documents are never shuffled.
+    Garbled texts are restored first. A passage begins and ends with words that are not
+    changed. Items shorter than LEAST_WORDS words, null and empty texts give no row.
+    Repeated rows give a row once; of several texts of one item the least by hash counts.
     """
     given = docs.select(key, F.col(text).alias("_text"))
     whole = given.where(~F.col("_text").rlike(garbled.suspect())).union(garbled.repair(given, samples, key, "_text").select(key, "text_new"))
     hashed = whole.select(key, word_hashes(F.col("_text")).alias("words"))
-    rows = items.where("item_id is not null and text is not null").select("item_id", word_hashes(F.col("text")).alias("words")).dropDuplicates(["item_id"]).orderBy("item_id")
-    out, last, kind = None, None, docs.schema[key].dataType.simpleString()
-    while True:
-        block = (rows if last is None else rows.where(F.col("item_id") > last)).limit(BLOCK).collect()
-        if not block and out is not None:
-            break
-        index = Index([r["item_id"] for r in block], [r["words"] for r in block])
-
-        def work(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column("words")
-                offsets = np.asarray(lists.offsets).astype(np.int64)
-                words = np.asarray(lists.values)[offsets[0] : offsets[-1]].astype(np.int64)
-                found = index.found(words, offsets - offsets[0])
-                ids = batch.column(key).take(pa.array([t for t, _ in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in found], pa.int64())], names=[key, "item_id"])
-
-        part = hashed.mapInArrow(work, f"{key} {kind}, item_id long")
-        out = part if out is None else out.union(part)
-        if len(block) < BLOCK:
-            break
-        last = block[-1]["item_id"]
-    return out.distinct()
+    rows = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("item_id", word_hashes(F.col("text")).alias("words"))
+    rows = stored(rows, "items")
+    pairs, held = meeting(hashed, rows, key)
+    return extended(pairs, held, rows, key).distinct()

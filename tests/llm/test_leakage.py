@@ -15,7 +15,7 @@ def plain(item, doc):
             limit = n // k.WORDS_PER_EDIT
             for s in range(len(b)):
                 for m in range(n - limit, n + limit + 1):
-                    if s + m <= len(b) and k._edits(a[i : i + n], b[s : s + m], limit) <= limit:
+                    if s + m <= len(b) and a[i] == b[s] and a[i + n - 1] == b[s + m - 1] and k._edits(a[i : i + n], b[s : s + m], limit) <= limit:
                         return True
     return False
 
