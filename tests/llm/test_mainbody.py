@@ -45,4 +45,28 @@ def test_page_and_lost_markup(spark):
 def test_lines_on_many_pages_are_left_out():
     often = {mainbody.line_key("Nonsense report, Kaali people know the truth."): False}
     found = mainbody.blocks(f"A headline\n{BODY}\nNonsense report, Meeli people know the truth.", "A headline", (), frozenset(["the", "of"]))
-    assert mainbody.main_lines(found, often) == [1, 2]
+    assert [n for n, _ in mainbody.main_lines(found, often)] == [1, 2]
+
+
+def kept(page):
+    found = mainbody.blocks(page, None, (), frozenset(["the", "of", "and", "in"]))
+    return [(n, k) for n, k in mainbody.main_lines(found, {})]
+
+
+def test_lists_in_an_article():
+    page = f"<html><body>\n<article>\n<h1>The headline</h1>\n<p>{BODY}</p>\n<ul>\n<li>a first point on the road</li>\n<li>a second one in the hall</li>\n</ul>\n<p>{BODY}</p>\n</article>\n</body></html>"
+    assert [n for n, _ in kept(page)] == [3, 4, 6, 7, 9]
+
+
+def test_paragraphs_in_elements_of_their_own_and_articles_in_parts():
+    page = f"<html><body>\n<h1>The headline</h1>\n<div>\n<p>{BODY}</p>\n</div>\n<div>\n<p>{BODY}</p>\n</div>\n<div class='ad'>\n<p>Buy the best of all the things in the shop of the town now.</p>\n</div>\n</body></html>"
+    assert [n for n, _ in kept(page)] == [2, 4, 7]
+    page = f"<html><body>\n<section class='s'>\n<h1>The headline</h1>\n<p>{BODY}</p>\n</section>\n<section class='s'>\n<p>{BODY} And the rest of it.</p>\n</section>\n</body></html>"
+    assert [n for n, _ in kept(page)] == [3, 4, 7]
+
+
+def test_page_in_one_line(spark):
+    page = f"<html><head><title>The headline | Post</title></head><body><nav><a href='/1'>Home</a></nav><article><h1>The headline</h1><p>{BODY}</p><p>{BODY} More.</p></article><footer><p>The Post of the town.</p></footer></body></html>"
+    df = items(spark, [dict(id=1, source_name="Post", raw_text_original=page)])
+    assert [tuple(r) for r in mainbody.body_lines(df, *entities(spark), spark.read.parquet(SAMPLES)).collect()] == [(1, 1)]
+    assert mainbody.main_bodies(df, *entities(spark), spark.read.parquet(SAMPLES)).first()["body"] == f"The headline\n{BODY}\n{BODY} More."
