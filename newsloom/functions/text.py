@@ -35,7 +35,37 @@ def squeezed(text: Column) -> Column:
 
 
 def first_sentence(text: Column) -> Column:
-    return F.trim(F.split(F.trim(text), r"(?<=[.!?।。])\s+|\n", 2)[0])
+    """Up to the first end mark before white space, or line end; the mark stays. A danda is an end mark."""
+    return F.trim(F.split(F.regexp_replace(text, r"^(?U)\s+|\s+$", ""), r"(?U)(?<=[.!?।。])\s+|\n+", 2)[0])
+
+
+def cut_with_ellipsis(text: Column, limit: int) -> Column:
+    """The first of three ways to shorten: trimmed; a longer text is cut one before the limit and ends in an ellipsis."""
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, limit - 1), r"(?U)\s+$", ""), F.lit("…")))
+
+
+def cut_with_dots(text: Column, limit: int) -> Column:
+    """The third way: in single spaces, cut three before the limit, with three dots."""
+    t = squeezed(text)
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("...")))
+
+
+def text_window(text: Column, terms: list[str], limit: int = 320) -> Column:
+    """The surroundings of the first term, in the order of the terms, that is in the text; else its beginning. Dots mark what is left out."""
+    clean = squeezed(F.coalesce(text, F.lit("")))
+    at = F.coalesce(*[F.nullif(F.locate(t, F.lower(clean)), F.lit(0)) for t in terms], F.lit(0)) - 1
+    start = F.greatest(F.lit(0), at - limit // 3)
+    piece = F.concat(F.when(start > 0, "...").otherwise(""), F.trim(clean.substr(start + 1, F.lit(limit))), F.when(start + limit < F.length(clean), "...").otherwise(""))
+    return F.when(at < 0, cut_with_dots(clean, limit)).otherwise(piece)
+
+
+def snippet(quotes: Column, summary: Column, text: Column, terms: list[str], limit: int = 320) -> Column:
+    """The first quote with a term, else the first quote, else the summary, else the text around a term."""
+    kept = F.filter(F.coalesce(quotes, F.array().cast("array<string>")), lambda q: F.trim(q) != "")
+    hit = F.filter(kept, lambda q: F.lower(q).rlike("|".join(map(re.escape, terms))) if terms else F.lit(False))
+    chosen = F.coalesce(F.get(hit, F.lit(0)), F.get(kept, F.lit(0)), F.nullif(F.trim(F.coalesce(summary, F.lit(""))), F.lit("")))
+    return F.when(chosen.isNotNull(), cut_with_dots(chosen, limit)).otherwise(text_window(text, terms, limit))
 
 
 def shortened(text: Column, limit: int) -> Column:
@@ -57,7 +87,9 @@ def query_terms(text: Column, stop: tuple[str, ...] = ("the", "and", "of", "in",
 
 
 def has_word(text: Column, word: str) -> Column:
-    """A word of Latin letters between characters that aren't letters or digits, without case."""
+    """A word of Latin letters between characters that aren't letters or digits, without case; one in another script anywhere, as written."""
+    if not re.search("[a-z]", word.lower()):
+        return F.contains(text, F.lit(word))
     return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(word.lower())}(?![\p{{L}}\p{{N}}_])")
 
 

@@ -151,36 +151,6 @@ def agg5_daily_series(t: Tables) -> DataFrame:
     return F.broadcast(spine).join(counted, "day", "left").na.fill(0).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query(f"""SELECT count(*) AS cards, count(*) FILTER (c = 'positive') AS positive, count(*) FILTER (c = 'negative') AS negative, count(*) FILTER (c = 'mixed') AS mixed,
- count(*) FILTER (c = 'people') AS people, count(*) FILTER (c = 'neutral') AS neutral FROM (SELECT CASE WHEN people_issue AND portrayal = 'neutral' THEN 'people' ELSE portrayal END AS c FROM {GATED})""")
-def agg6_category_counts(t: Tables) -> DataFrame:
-    gated = current_analyses(t.ai_analysis).where(relevant()).join(t.raw_items.select(F.col("id").alias("raw_item_id")), "raw_item_id")
-    shown = gated.select(F.when(F.col("people_issue") & (subject_portrayal() == "neutral"), "people").otherwise(subject_portrayal()).alias("c"))
-    return shown.agg(F.count("*").alias("cards"), *[F.count_if(F.col("c") == k).alias(k) for k in ("positive", "negative", "mixed", "people", "neutral")])
-
-
-@query(f"""WITH d AS (SELECT canonical_name AS district FROM entities WHERE entity_type = 'district'), g AS (SELECT *, CASE WHEN people_issue AND portrayal = 'neutral' THEN 'people' ELSE portrayal END AS c FROM {GATED})
- SELECT d.district, count(g.raw_item_id) AS total, count(*) FILTER (c = 'negative') AS negative, count(*) FILTER (c = 'people') AS people, count(*) FILTER (c = 'mixed') AS mixed, count(*) FILTER (c = 'positive') AS positive,
- CASE WHEN count(*) FILTER (c = 'negative') > 0 THEN 'negative' WHEN count(*) FILTER (c = 'people') > 0 THEN 'people' WHEN count(*) FILTER (c = 'mixed') > 0 THEN 'mixed' WHEN count(*) FILTER (c = 'positive') > 0 THEN 'positive' ELSE 'quiet' END AS dominant
- FROM d LEFT JOIN g ON g.district = d.district GROUP BY 1""")
-def agg7_district_rollup(t: Tables) -> DataFrame:
-    """Every district, those without items with zeros; counted before the join."""
-    gated = current_analyses(t.ai_analysis).where(relevant()).join(t.raw_items.select(F.col("id").alias("raw_item_id")), "raw_item_id")
-    kinds = ("negative", "people", "mixed", "positive")
-    shown = gated.select("district", F.when(F.col("people_issue") & (subject_portrayal() == "neutral"), "people").otherwise(subject_portrayal()).alias("c"))
-    counted = shown.groupBy("district").agg(F.count("*").alias("total"), *[F.count_if(F.col("c") == k).alias(k) for k in kinds])
-    every = t.entities.where("entity_type = 'district'").select(F.col("canonical_name").alias("district"))
-    filled = every.join(counted, "district", "left").na.fill(0)
-    dominant = F.coalesce(*[F.when(F.col(k) > 0, k) for k in kinds], F.lit("quiet"))
-    return filled.withColumn("dominant", dominant)
-
-
-@query(f"SELECT department, count(*) AS total, count(*) FILTER (portrayal = 'negative') AS negative FROM {GATED} WHERE coalesce(department,'') <> '' GROUP BY 1 ORDER BY total DESC, department LIMIT 14")
-def agg8_department_rollup(t: Tables) -> DataFrame:
-    gated = current_analyses(t.ai_analysis).where(relevant() & (F.coalesce("department", F.lit("")) != "")).join(t.raw_items.select(F.col("id").alias("raw_item_id")), "raw_item_id")
-    return gated.groupBy("department").agg(F.count("*").alias("total"), F.count_if(subject_portrayal() == "negative").alias("negative")).orderBy(F.desc("total"), "department").limit(14)
-
-
 @query("""SELECT strftime(CAST(coalesce(r.published_at, r.ingested_at) AS DATE), '%Y-%m-%d') AS day, count(*) AS analyses, count(*) FILTER (stance_toward_government = 'positive') AS positive,
  count(*) FILTER (stance_toward_government = 'negative') AS negative, count(*) FILTER (needs_human_review) AS review FROM ai_analysis a JOIN raw_items r ON r.id = a.raw_item_id GROUP BY 1""")
 def agg13_daily_report(t: Tables) -> DataFrame:
@@ -222,16 +192,6 @@ def srt13_recent_items(t: Tables) -> DataFrame:
     return t.raw_items.select(F.col("id").alias("raw_item_id"), "source_name", "ingested_at").orderBy(F.desc("ingested_at"), F.desc("raw_item_id")).limit(200).drop("ingested_at")
 
 
-@query("""SELECT raw_item_id, analysis_id, page FROM (SELECT raw_item_id, id AS analysis_id, (row_number() OVER (ORDER BY created_at DESC, id DESC) - 1) // 12 + 1 AS page FROM ai_analysis WHERE district = 'Sosaakulam' AND lower(trim(department)) = 'water')
- WHERE page <= 2""")
-def flt8_faceted_page(t: Tables) -> DataFrame:
-    """Cards of one district and department, in pages of 12: the first two pages."""
-    kept = t.ai_analysis.where("district = 'Sosaakulam' and lower(trim(department)) = 'water'").select("raw_item_id", F.col("id").alias("analysis_id"), "created_at")
-    first = kept.orderBy(F.desc("created_at"), F.desc("analysis_id")).limit(24)
-    at = Window.partitionBy(F.lit(0)).orderBy(F.desc("created_at"), F.desc("analysis_id"))  # 24 rows at most
-    return first.withColumn("page", F.floor((F.row_number().over(at) - 1) / 12) + 1).drop("created_at")
-
-
 @query("""SELECT a.id AS analysis_id FROM ai_analysis a WHERE lower(severity) IN ('high','critical') OR needs_human_review OR raw_item_id IN (SELECT DISTINCT raw_item_id FROM labeled_examples WHERE tier = 'gold')""")
 def flt6_high_value(t: Tables) -> DataFrame:
     gold = t.labeled_examples.where("tier = 'gold'").select("raw_item_id").distinct().withColumn("_gold", F.lit(True))

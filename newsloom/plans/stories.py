@@ -59,15 +59,6 @@ def agg14_theme_stats(t: Tables) -> DataFrame:
     return joined.groupBy("content_hash").agg(F.count("*").alias("size"), F.count_distinct("source_name").alias("sources"), *kinds).where("size > 1")
 
 
-@query(f"SELECT raw_item_id, severity_rank, portrayal FROM {GATED} WHERE (portrayal = 'negative' OR people_issue) AND (severity_rank >= 3 OR needs_human_review) ORDER BY severity_rank + needs_human_review::INT DESC, severity_rank DESC, day DESC, raw_item_id DESC LIMIT 20")
-def srt4_alerts(t: Tables) -> DataFrame:
-    best = current_analyses(t.ai_analysis).where(relevant()).select("raw_item_id", "created_at", "people_issue", "needs_human_review", severity_rank().alias("severity_rank"), subject_portrayal().alias("portrayal"))
-    items = t.raw_items.select(F.col("id").alias("raw_item_id"), "published_at", "ingested_at")
-    kept = best.where("(portrayal = 'negative' or people_issue) and (severity_rank >= 3 or needs_human_review)").join(items, "raw_item_id").withColumn("day", item_day())
-    order = [F.desc(F.col("severity_rank") + F.col("needs_human_review").cast("int")), F.desc("severity_rank"), F.desc("day"), F.desc("raw_item_id")]
-    return kept.orderBy(*order).limit(20).select("raw_item_id", "severity_rank", "portrayal")
-
-
 @query("""SELECT id AS analysis_id, array_to_string(list_slice(list_filter(list_transform(coalesce(positive_points, []), lambda p: trim(p)), lambda p: p <> ''), 1, 3), ' | ') AS shown FROM ai_analysis""")
 def prj6_display_lists(t: Tables) -> DataFrame:
     points = F.filter(F.transform(F.coalesce("positive_points", F.array().cast("array<string>")), F.trim), lambda p: p != "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..functions.chunks import word_chunks
-from ..operators import rules, vectors
+from ..operators import vectors
 from ..sources import pages
 from ..session import small
 from .registry import Tables, query
@@ -107,40 +107,6 @@ def dt3_item_weeks(t: Tables) -> DataFrame:
     return t.raw_items.select(F.col("id").alias("raw_item_id"), F.date_format(F.date_trunc("week", F.coalesce("published_at", "ingested_at")), "yyyy-MM-dd").alias("week"))
 
 
-def _like(words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains(l, '{w}')" for w in words) + ")"
-
-
-L = rules.Lens()
-ISSUE = "CASE " + " ".join(f"WHEN {_like(w)} THEN '{n}'" for n, w in L.issues) + " ELSE 'general' END"
-
-
-@query(f"""WITH d AS (SELECT doc_id, text, lower(text) AS l FROM documents WHERE text IS NOT NULL), f AS (SELECT *, {_like(L.good)} AS good, {_like(L.bad)} AS bad, {_like(L.subject)} AS about, {_like(L.out_of_scope)} AND NOT {_like(L.subject)} AS outside FROM d)
- SELECT doc_id, length(text) < 160 OR length(regexp_replace(substr(text, 1, 1200), '[^!?]', '', 'g')) >= 5 AS is_listing, NOT outside AS in_scope,
- NOT outside AND ({_like(L.danger)} OR ({_like(L.civic)} AND {_like(L.problem)})) AS people_issue, {ISSUE} AS issue,
- CASE WHEN good AND bad THEN 'mixed' WHEN good THEN 'positive' WHEN bad THEN 'negative' ELSE 'neutral' END AS stance,
- CASE WHEN outside THEN 'none' WHEN about AND (good OR bad) THEN 'high' WHEN about THEN 'medium' ELSE 'low' END AS relevance FROM f""")
-def cls11_rule_labels(t: Tables) -> DataFrame:
-    return rules.classify(t.documents.where("text is not null").select("doc_id", "text"), "text").drop("text")
-
-
-@query("""SELECT id AS analysis_id, unnest(list_filter([CASE WHEN coalesce(trim(summary_english), '') = '' THEN 'no_summary' END, CASE WHEN coalesce(len(evidence_quotes_original), 0) = 0 THEN 'no_evidence' END,
- CASE WHEN lower(severity) IN ('high','critical') AND coalesce(trim(public_issue), '') = '' THEN 'severe_without_issue' END, CASE WHEN lower(coalesce(district, '')) IN ('', 'unknown') THEN 'unknown_district' END,
- CASE WHEN confidence < 0.5 AND NOT needs_human_review THEN 'unsure_without_review' END, CASE WHEN lower(severity) IN ('high','critical') AND lower(action_priority) = 'low' THEN 'severe_with_low_priority' END], lambda c: c IS NOT NULL)) AS code FROM ai_analysis""")
-def cls18_quality_audit(t: Tables) -> DataFrame:
-    return rules.audit(t.ai_analysis)
-
-
-@query()
-def cls14_detected_districts(t: Tables) -> DataFrame:
-    """The district that a text names first; the names come from the entities, a table of fixed size; all aliases are taken."""
-    kept = t.entities.where("entity_type = 'district'").select(F.col("id").alias("entity_id"), "canonical_name")
-    names = {r["alias"]: r["canonical_name"] for r in t.entity_aliases.join(kept, "entity_id").select("alias", "canonical_name").orderBy("alias").collect()}
-    if not names:
-        return t.documents.select("doc_id", F.lit(None).cast("string").alias("district"))
-    return t.documents.select("doc_id", rules.located(F.coalesce("text", F.lit("")), names).alias("district"))
-
-
 @query(r"""SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 16))::UHUGEINT % 1024 AS INTEGER) AS bucket FROM
  (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS w FROM documents) WHERE length(w) >= 2) GROUP BY 1, 2""")
 def vec4_word_buckets(t: Tables) -> DataFrame:

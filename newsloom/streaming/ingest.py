@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import content_hash, normal_url
-from ..operators.rules import classify
+from ..operators.analyzer import analyze
 from ..sources.tables import POST, SnapshotTable
 
 ITEM = T.StructType(
@@ -37,7 +37,7 @@ def ingest(items: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Classifies new items and inserts those that the table doesn't have. A batch that runs twice adds nothing the second time."""
 
     def insert(batch: DataFrame, number: int) -> None:
-        SnapshotTable(batch.sparkSession, table).insert_new(classify(batch, "text"), ["content_hash"])
+        SnapshotTable(batch.sparkSession, table).insert_new(analyze(batch, body="text", url="source_url"), ["content_hash"])
 
     return prepared(items).writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from newsloom.operators import rules
 from newsloom.operators import stories as st
 
 T0 = dt.datetime(2026, 1, 8)
@@ -22,18 +21,3 @@ def test_momentum(spark):
     rows = [(1, "up", "s", day(0)), (2, "up", "s", day(3)), (3, "down", "s", day(4)), (4, "down", "s", day(5)), (5, "flat", "s", day(8)), (6, "flat", "s", None), (7, "even", "s", day(1)), (8, "even", "s", day(6))]
     got = {r["content_hash"]: r["momentum"] for r in st.momentum(frame(spark, rows)).collect()}
     assert got == {"up": "rising", "down": "fading", "flat": "flat", "even": "steady"}
-
-
-def test_rules(spark):
-    df = spark.createDataFrame([(1, "The minister approved the road but nobody came to the water works, a complaint. " * 4), (2, "Cricket " * 30), (3, None), (4, "win! win! win! win! win! " * 10)], "id long, text string")
-    got = {r["id"]: r for r in rules.classify(df, "text").collect()}
-    assert (got[1]["stance"], got[1]["relevance"], got[1]["people_issue"], got[1]["issue"]) == ("positive", "high", True, "water")
-    assert got[2]["relevance"] == "none" and not got[2]["in_scope"] and got[3]["is_listing"] and got[4]["is_listing"]
-
-
-def test_located(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([("from Rosipatti to Sosaakulam",), ("nowhere",)], "t string")
-    names = {"Sosaakulam": "Sosaakulam", "Rosipatti": "Rosipatti", "Rosi": "Other"}
-    assert [r[0] for r in df.select(rules.located(F.col("t"), names)).collect()] == ["Rosipatti", None]
