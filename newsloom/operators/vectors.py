@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,40 +32,46 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k nearest vectors of each query, by cosine, ties by key.
 
     queries: query_id and vector. They are taken in blocks of at most `block`, each sent
     to all tasks once as a matrix; each batch keeps its own k best, which are merged. So
-    all rows are searched, and only k rows a query and task are shuffled.
+    all rows are searched, and only k rows a query and batch are shuffled. allowed: keys
+    that may come out, if given. Vectors of another dimension than a query's are passed
+    over; k of 0 or less, null vectors and empty tables give no row.
     """
-    rows = queries.select("query_id", vector).orderBy("query_id")
+    kept = vectors if allowed is None else vectors.join(allowed.select(key).distinct(), key, "left_semi")
+    rows = queries.select("query_id", vector).where(F.col(vector).isNotNull() & F.col("query_id").isNotNull()).orderBy("query_id")
     parts, last = [], None
-    while True:
+    while k > 0:
         got = (rows if last is None else rows.where(F.col("query_id") > last)).limit(block).collect()
         if not got:
             break
         last = got[-1]["query_id"]
-        ids = np.array([r["query_id"] for r in got])
-        q = np.array([r[vector] for r in got], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def best(frames: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                m = np.stack(f[vector].to_numpy()).astype(np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                keys = f[key].to_numpy()
-                score = q @ m.T
-                for i in range(0, len(ids)):
-                    order = np.lexsort((keys, -score[i]))[:k] if len(keys) > k else np.arange(len(keys))
-                    yield pd.DataFrame({"query_id": ids[i], key: keys[order], "score": score[i][order]})
-
-        kept = vectors.where(F.size(vector) == q.shape[1]).select(key, vector)
-        parts.append(kept.mapInPandas(best, f"query_id long, {key} long, score double"))
+        for size in sorted({len(r[vector]) for r in got}):
+            some = [r for r in got if len(r[vector]) == size]
+            ids = np.array([r["query_id"] for r in some])
+            q = _normed(np.array([r[vector] for r in some], np.float64))
+
+            def best(frames: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    if not len(f):
+                        continue
+                    keys = f[key].to_numpy()
+                    score = q @ _normed(np.stack(f[vector].to_numpy()).astype(np.float64)).T
+                    n = min(k, len(keys))
+                    # Ties at the edge are kept, so that the least key can win them.
+                    edge = np.partition(score, len(keys) - n, axis=1)[:, len(keys) - n]
+                    i, j = np.nonzero(score >= edge[:, None] - 1e-9)
+                    yield pd.DataFrame({"query_id": ids[i], key: keys[j], "score": score[i, j]})
+
+            same = kept.where(F.size(vector) == size).select(key, vector)
+            parts.append(same.mapInPandas(best, f"query_id long, {key} long, score double"))
         if len(got) < block:
             break
     if not parts:
-        return vectors.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        return vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -73,6 +79,61 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     return out.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
 
 
+def _normed(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, code): an index of all rows, each unit vector in one signed byte a dimension."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({key: f[key], "code": [np.round(_normed(np.asarray(v, np.float64)[None, :])[0] * 127).astype(np.int8).tobytes() for v in f[vector]]})
+
+    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(work, f"{key} long, code binary")
+
+
+def top_k_quantised(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", wider: int = 4) -> DataFrame:
+    """`top_k` by an index of bytes: of each query the wider * k best by their codes are ranked again by their vectors."""
+    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({key: f[key], vector: [np.frombuffer(c, np.int8).astype(np.float32).tolist() for c in f["code"]]})
+
+    rough = top_k(index.mapInPandas(decode, f"{key} long, {vector} array<float>"), queries, wider * k, key, vector).select("query_id", key)
+    exact = rough.join(vectors.select(key, vector), key).join(queries.select("query_id", F.col(vector).alias("_q")), "query_id").withColumn("score", cosine(F.col(vector), F.col("_q")))
+    at = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
+    return exact.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
+
+
+def hash_embedding(text: Column, dimension: int = 64) -> Column:
+    """A unit vector from the bytes of sha256("counter:text"), each as byte / 127.5 - 1; all in the JVM."""
+    parts = []
+    for n in range(-(-dimension // 32)):
+        digest = F.sha2(F.concat(F.lit(f"{n}:"), text), 256)
+        parts.append(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i, d=digest: F.conv(d.substr(2 * i + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1))
+    return unit(F.slice(F.flatten(F.array(*parts)), 1, dimension))
+
+
+def provider_embeddings(texts: DataFrame, key: str, text: str, provider: Callable[[list[str]], list[list[float]]], dimension: int) -> DataFrame:
+    """(key, embedding) by a provider that is asked for a batch of texts at once; a vector of another dimension is an error."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = provider(f[text].tolist())
+            if any(len(v) != dimension for v in made):
+                raise ValueError(f"vectors of {dimension} dimensions were expected")
+            yield pd.DataFrame({key: f[key], "embedding": made})
+
+    return texts.where(F.col(text).isNotNull()).select(key, text).mapInPandas(work, f"{key} {kind}, embedding array<float>")
+
+
+def unit_words(counts: DataFrame, key: str) -> DataFrame:
+    """Adds to (key, bucket, n) the weight of a bucket in the unit vector of its text."""
+    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("_norm"))
+    return counts.join(norms, key).withColumn("weight", F.col("n") / F.col("_norm")).drop("_norm")
+
+
 def assign_in_order(vectors: np.ndarray, threshold: float, mode: str = "best") -> np.ndarray:
     """Clusters of rows taken in order: the best (or first) cluster whose running mean is near enough, else a new one. Zero rows: alone (best), -1 (first)."""
     n, d = vectors.shape
@@ -96,25 +157,3 @@ def assign_in_order(vectors: np.ndarray, threshold: float, mode: str = "best") -
         mean = sums[c] / counts[c]
         means[c] = mean / max(np.linalg.norm(mean), 1e-300)
     return out
-
-
-def cluster_stories(texts: DataFrame, threshold: float = 0.85, mode: str = "best", dimension: int = DIMENSION, block: str = "block") -> DataFrame:
-    """(id, cluster_id, size): the sequential clustering of texts (id, words, ord, block) within each block, in the order of ord and id, descending.
-
-    The result depends on the order, so a block is one task; blocks are to be small (a
-    day of a source type, say). The cluster is named by its first member.
-    """
-
-    def work(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ord", "id"], ascending=False, kind="stable").reset_index(drop=True)
-        m = np.zeros((len(f), dimension))
-        for i, (at, n) in enumerate(zip(f["buckets"], f["counts"])):
-            m[i, np.asarray(at, int)] = n
-        c = assign_in_order(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), threshold, mode)
-        f["c"] = c
-        f = f[f["c"] >= 0]
-        f["cluster_id"] = f.groupby("c")["id"].transform("first")
-        f["size"] = f.groupby("c")["id"].transform("size")
-        return f[["id", "cluster_id", "size"]]
-
-    return texts.groupBy(block).applyInPandas(work, "id long, cluster_id long, size long")

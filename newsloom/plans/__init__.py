@@ -1,4 +1,4 @@
 """The queries of the engine."""
 
-from . import analyses, graph, labels, rulings, stories, texts  # noqa: F401
+from . import analyses, clusters, graph, labels, rulings, stories, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

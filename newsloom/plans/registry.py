@@ -16,7 +16,7 @@ class Tables:
     """The tables of one input by name: t.raw_items."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._at = (spark, sf_dir)
+        self._at, self.place = (spark, sf_dir), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         return table(*self._at, name)

@@ -9,12 +9,8 @@ from ..functions import text as x
 from ..functions.chunks import word_chunks
 from ..operators import vectors
 from ..sources import pages
-from ..session import small
 from .registry import Tables, query
 
-#: Items of a day that are clustered in one task, in exact order.
-BLOCK = 20_000
-
 SPACE = r"trim(regexp_replace({0}, '[\s ]+', ' ', 'g'))"
 
 
@@ -133,31 +129,6 @@ def vec7_chunks(t: Tables) -> DataFrame:
     return cut.withColumn("token_estimate", F.greatest(F.lit(1), F.floor(F.length("chunk_text") / 4)))
 
 
-def _story_words(t: Tables) -> DataFrame:
-    """The news of a day as word buckets: id, ord, block and two arrays."""
-    day = F.date_format(F.coalesce("published_at", "ingested_at"), "yyyy-MM-dd")
-    news = t.raw_items.where("source_type = 'news'").select("id", F.substring("clean_text_original", 1, 1200).alias("lead"), F.unix_micros("ingested_at").alias("ord"), day.alias("block"))
-    buckets = vectors.word_buckets(news, "id", "lead").groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
-    empty = F.array().cast("array<long>")
-    joined = news.drop("lead").join(buckets, "id", "left")
-    # A day of more items than a task should hold is parted by the most frequent word of a text.
-    sizes = news.groupBy("block").agg(F.count("*").alias("_n"))
-    top = F.expr("get(buckets, array_position(counts, array_max(counts)) - 1)")
-    joined = joined.join(small(sizes), "block").withColumn("block", F.when(F.col("_n") > BLOCK, F.concat_ws("/", "block", top.cast("string"))).otherwise(F.col("block")))
-    return joined.select("id", "ord", "block", F.coalesce(F.col("buckets").cast("array<long>"), empty).alias("buckets"), F.coalesce("counts", empty).alias("counts"))
-
-
-@query()
-def clu2_story_clusters(t: Tables) -> DataFrame:
-    """The first 1,200 characters of each news item (a lead chunk), clustered in order within its day; each item is in one cluster."""
-    return vectors.cluster_stories(_story_words(t))
-
-
-@query()
-def clu1_theme_clusters(t: Tables) -> DataFrame:
-    return vectors.cluster_stories(_story_words(t), 0.78, "first").where("size >= 2")
-
-
 TERMS = ("ration", "water", "bridge")
 
 
