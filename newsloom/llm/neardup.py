@@ -6,11 +6,14 @@ near to meet the whole bucket. What meets is verified on whole sets of shingles:
 weighted Jaccard similarity is computed and given with the link, and the plain overlap,
 which the statement of the problem asks for, decides.
 
-Weights keep between 1 and 1.375: 1 + 0.25 log(p) / log(FLOOR) for a shingle in a share p
-of the texts (p at least FLOOR), times 1.1 if the text has it more than once. So a pair of
-plain overlap 0.5 or more has a weighted similarity of at least 1 / (1.1 + 1.375) = 0.404,
-whatever its shingles, and meets with a probability of at least 1 - (1 - 0.404^3)^72 =
-0.992; a pair whose shingles all weigh the same, with more than 0.9999.
+The weight of a shingle in a share p of the texts is (log(1 + 1 / p) / log(1 + 1 / FLOOR))
+to the power STEEP, p being FLOOR at least, and 1.1 times that if the text has it more than
+once. BANDS of ROWS samples are drawn by these weights, and PLAIN_BANDS of PLAIN_ROWS with
+all weights 1. Two texts of plain overlap 0.5 meet in a plain band with a probability of
+1 - (1 - 0.5^4)^24 = 0.79 whatever they share; if what they share is in a share p of the
+texts and the rest rare, they meet in any band with more than 0.999 for p up to 0.001,
+0.993 at 0.003, 0.96 at 0.01. What is more frequent is shared by many, and a text is lost to
+its group only if it meets none of it.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ from .leakage import word_hashes
 from .sitelines import common_lines, content, line_names, texts_of_sources
 
 SHINGLE, SIMILAR, LEAST_WORDS = 3, 0.5, 100
-#: 1 - (1 - s^ROWS)^BANDS of the pairs of weighted similarity s meet.
-BANDS, ROWS = 72, 3
-#: Share of the texts up to which shingles are as rare as any; how much a rare shingle weighs more than one of all texts, and one that occurs again.
-FLOOR, RARE, AGAIN = 0.002, 0.25, 1.1
+#: 1 - (1 - s^ROWS)^BANDS of the pairs of weighted similarity s meet in the weighted bands, and likewise by plain overlap in the plain ones.
+BANDS, ROWS = 40, 3
+PLAIN_BANDS, PLAIN_ROWS = 24, 4
+#: Share of the texts up to which shingles are as rare as any; how steeply weights fall with their share; what a shingle that occurs again weighs more.
+FLOOR, STEEP, AGAIN = 0.001, 1.5, 1.1
 #: Cells of the sketch that tells which shingles may be in a share FLOOR of the texts; their texts are then counted one by one.
 CELLS, BLOCKS = 1 << 20, 64
 #: Bits of the sketch of a text that tells which pairs can't overlap enough.
@@ -85,10 +89,10 @@ class Weights:
         order = np.argsort(shingles)
         self.shingles = shingles[order]
         share = np.clip(texts[order] / max(1, total), FLOOR, 1)
-        self.weights = (1 + RARE * np.log(share) / np.log(FLOOR)).astype(np.float32)
+        self.weights = ((np.log1p(1 / share) / np.log1p(1 / FLOOR)) ** STEEP).astype(np.float32)
 
     def of(self, shingles: np.ndarray, again: np.ndarray) -> np.ndarray:
-        out = np.full(len(shingles), 1 + RARE, np.float32)
+        out = np.ones(len(shingles), np.float32)
         if len(self.shingles):
             slot = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
             out = np.where(self.shingles[slot] == shingles, self.weights[slot], out)
@@ -142,8 +146,8 @@ def shingle_weights(sets: DataFrame) -> Weights:
 class Sampler:
     """Improved consistent weighted sampling. The random numbers of a shingle and a sample come from tables, picked by the bits of a product of the two."""
 
-    def __init__(self, samples: int) -> None:
-        draw = np.random.default_rng(20)
+    def __init__(self, samples: int, seed: int = 20) -> None:
+        draw = np.random.default_rng(seed)
         self.factors = draw.integers(1, 1 << 63, samples, dtype=np.uint64) | np.uint64(1)
         size = 1 << 16
         self.r = draw.gamma(2, 1, size).astype(np.float32)
@@ -171,25 +175,26 @@ class Sampler:
         return log_a[rows, best], _mix(shingles[best] ^ _mix(level))
 
 
-def buckets(sets: DataFrame, weights: Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def buckets(sets: DataFrame, weights: Weights) -> DataFrame:
     """(id, bucket): a row for each text and band; texts in one bucket agree in all samples of the band."""
     shared = sets.sparkSession.sparkContext.broadcast(weights)  # of bounded size, see shingle_weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, weights = Sampler(bands * rows), shared.value
-        number = np.arange(1, bands + 1, dtype=np.uint64)
+        weighted, plain, weights = Sampler(BANDS * ROWS), Sampler(PLAIN_BANDS * PLAIN_ROWS, 21), shared.value
+        number = np.arange(1, BANDS + PLAIN_BANDS + 1, dtype=np.uint64)
         for batch in batches:
             flat, offsets = _lists(batch.column("shingles"))
             again = np.frombuffer(b"".join(batch.column("again").to_pylist()), np.uint8)
             weight, flat = weights.of(flat, again), flat.view(np.uint64)
-            out = np.zeros((len(offsets) - 1, bands), np.uint64)
+            out = np.zeros((len(offsets) - 1, len(number)), np.uint64)
             for i in range(len(offsets) - 1):
-                h = sampler.samples(flat[offsets[i] : offsets[i + 1]], weight[offsets[i] : offsets[i + 1]]).reshape(bands, rows)
+                s, w = flat[offsets[i] : offsets[i + 1]], weight[offsets[i] : offsets[i + 1]]
                 b = number.copy()
-                for k in range(rows):
-                    b = _mix(b ^ h[:, k])
+                for h, part in ((weighted.samples(s, w).reshape(BANDS, ROWS), b[:BANDS]), (plain.samples(s, np.ones(len(s), np.float32)).reshape(PLAIN_BANDS, PLAIN_ROWS), b[BANDS:])):
+                    for k in range(h.shape[1]):
+                        part[:] = _mix(part ^ h[:, k])
                 out[i] = b
-            ids = np.repeat(np.asarray(batch.column("id")), bands)
+            ids = np.repeat(np.asarray(batch.column("id")), len(number))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out.reshape(-1).view(np.int64), pa.int64())], names=["id", "bucket"])
 
     return sets.mapInArrow(work, "id long, bucket long")
