@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import salted_join, stored
+from ..session import salted_join, small, stored
 from . import garbled
 
 K, WINDOW = 4, 2
 #: A passage counts from so many words of the item, with at most one edit to so many words.
 LEAST_WORDS, WORDS_PER_EDIT = 15, 8
+#: k-grams that a passage shares at least: fewest where it has two edits in one word more than LEAST_WORDS.
+FEWEST = LEAST_WORDS + 1 - (K - 1) - K * ((LEAST_WORDS + 1) // WORDS_PER_EDIT)
 #: Words at either end of a passage that are tried beyond the outermost shared k-grams.
 FLANK = 2 * K
 #: Bits of the filter that tells which fingerprints no item has.
@@ -103,7 +105,7 @@ def leaks(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.nda
     """Whether the doc repeats a passage of the item. at_item, at_doc: the starts of all shared k-grams."""
     places = np.unique(at_item)
     # A passage of L words with L // 8 edits shares at least L - (K - 1) - K * (L // 8) k-grams, fewest for two edits in 16 words.
-    least, span = LEAST_WORDS + 1 - (K - 1) - K * ((LEAST_WORDS + 1) // WORDS_PER_EDIT), LEAST_WORDS + 1 - (K - 1)
+    least, span = FEWEST, LEAST_WORDS + 1 - (K - 1)
     if len(places) < least or not (places[least - 1 :] - places[: len(places) - least + 1] < span).any():
         return False
     order = np.lexsort((at_item, at_item - at_doc))
@@ -220,34 +222,55 @@ def meeting(docs: DataFrame, items: DataFrame, key: str) -> tuple[DataFrame, Dat
 
     held = stored(docs.select(key, "words").mapInArrow(of_docs, f"{key} {kind}, words array<long>, prints array<long>"), "docprints")
     pairs = salted_join(held.select(key, F.explode("prints").alias("print")), prints, ["print"], F.col(key)).select(key, "item_id").distinct()
-    return stored(pairs, "pairs"), held.select(key, "words")
+    return stored(pairs.repartition(key).sortWithinPartitions(key), "pairs"), held.select(key, "words")
+
+
+class _Item:
+    """An item's words, and its k-grams in order with their places."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        grams = _grams(words, np.array([0, len(words)]))
+        places = np.flatnonzero(grams != np.iinfo(np.uint64).max)
+        order = np.argsort(grams[places], kind="stable")
+        self.grams, self.places = grams[places][order], places[order]
+
+    def within(self, doc: np.ndarray, grams: np.ndarray) -> bool:
+        left = np.searchsorted(self.grams, grams)
+        some = np.flatnonzero(self.grams[np.minimum(left, len(self.grams) - 1)] == grams) if len(self.grams) else []
+        if len(some) < FEWEST:
+            return False
+        left, right = left[some], np.searchsorted(self.grams, grams[some], side="right")
+        counts = right - left
+        at_doc = np.repeat(some, counts)
+        where = np.repeat(left - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        return leaks(self.words, doc, self.places[where], at_doc)
 
 
 def extended(pairs: DataFrame, docs: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """The pairs (key, item_id) of which the document repeats a passage. An item may meet very many documents: it is joined salted."""
+    """The pairs (key, item_id) of which the document repeats a passage. Pairs come in the order of their documents, so the k-grams of each are made once. Items are broadcast up to a checked size; beyond it they are joined salted, as one may meet very many documents."""
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, _Item] = {}
+        last, words, grams = None, None, None
         for batch in batches:
-            n, good = batch.num_rows, np.zeros(batch.num_rows, bool)
-            item, doc = batch.column("item"), batch.column("words")
-            for i in range(n):
-                a, b = (np.asarray(c[i].values).astype(np.int64) for c in (item, doc))
-                ga, gb = (_grams(x, np.array([0, len(x)])) for x in (a, b))
-                none = np.iinfo(np.uint64).max
-                order = np.argsort(ga[ga != none], kind="stable")
-                known = ga[ga != none][order]
-                left, right = np.searchsorted(known, gb, side="left"), np.searchsorted(known, gb, side="right")
-                some = np.flatnonzero((right > left) & (gb != none))
-                if len(some):
-                    counts = (right - left)[some]
-                    at_doc = np.repeat(some, counts)
-                    where = np.repeat(left[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-                    good[i] = leaks(a, b, np.flatnonzero(ga != none)[order][where], at_doc)
+            good = np.zeros(batch.num_rows, bool)
+            ids, docs, texts, items = batch.column("item_id").to_pylist(), batch.column(key).to_pylist(), batch.column("words"), batch.column("item")
+            for i, (number, doc) in enumerate(zip(ids, docs)):
+                if last is None or doc != last[0] or not texts[i].values.equals(last[1]):
+                    words = np.asarray(texts[i].values).astype(np.int64)
+                    grams, last = _grams(words, np.array([0, len(words)])), (doc, texts[i].values)
+                if (item := known.get(number)) is None:
+                    if len(known) >= 20_000:
+                        known.clear()
+                    item = known[number] = _Item(np.asarray(items[i].values).astype(np.int64))
+                good[i] = item.within(words, grams)
             yield batch.select([key, "item_id"]).filter(pa.array(good))
 
-    both = pairs.join(docs, key)
-    both = salted_join(both, items.withColumnRenamed("words", "item"), ["item_id"], F.col(key))
+    both, named = pairs.join(docs, key), items.withColumnRenamed("words", "item")
+    few = small(named)
+    both = both.join(few, "item_id") if few is not named else salted_join(both, named, ["item_id"], F.col(key))
     return both.select(key, "item_id", "words", "item").mapInArrow(work, f"{key} {kind}, item_id long")
 
 
