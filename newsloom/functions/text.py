@@ -79,6 +79,14 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", "-"), "^-+|-+$", "")
 
 
+def theme_query(title: Column, place: str, words: int = 8) -> Column:
+    """A title as a query for another service: without marks of a paper's name, the first longer words, and the place; the place alone for no title."""
+    bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"[|:·]", " ")
+    kept = F.slice(F.filter(F.split(bare, r"(?U)\s+"), lambda w: F.length(w) > 2), 1, words)
+    text = F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), F.lit(place))
+    return F.when(F.coalesce(title, F.lit("")) == "", F.lit(place)).otherwise(F.concat(text, F.lit(f" {place}")))
+
+
 def query_terms(text: Column, stop: tuple[str, ...] = ("the", "and", "of", "in", "to", "a", "is", "for", "on", "what", "who")) -> Column:
     """Words of two letters and more, in order, each once, without stop words."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))

@@ -107,10 +107,12 @@ def top_k_quantised(index: DataFrame, vectors: DataFrame, queries: DataFrame, k:
 
 def hash_embedding(text: Column, dimension: int = 64) -> Column:
     """A unit vector from the bytes of sha256("counter:text"), each as byte / 127.5 - 1; all in the JVM."""
-    parts = []
-    for n in range(-(-dimension // 32)):
+
+    def part(n: int) -> Column:
         digest = F.sha2(F.concat(F.lit(f"{n}:"), text), 256)
-        parts.append(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i, d=digest: F.conv(d.substr(2 * i + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1))
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(digest.substr(2 * i + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+
+    parts = [part(n) for n in range(-(-dimension // 32))]
     return unit(F.slice(F.flatten(F.array(*parts)), 1, dimension))
 
 

@@ -120,14 +120,6 @@ def dt4_as_of(t: Tables) -> DataFrame:
 QUESTION = "what did renomani nothulamani say about water in sosaakulam"
 
 
-@query(f"""SELECT a.entity_id, max(length(a.normalized)) AS letters FROM entity_aliases a JOIN entities e ON e.id = a.entity_id WHERE e.status <> 'candidate' AND length(a.normalized) > 3 AND contains('{QUESTION}', a.normalized) GROUP BY 1 ORDER BY letters DESC, entity_id LIMIT 3""")
-def ent9_question_entities(t: Tables) -> DataFrame:
-    """The entities that a question names, by the longest alias."""
-    kept = t.entities.where("status <> 'candidate'").select(F.col("id").alias("entity_id"))
-    found = t.entity_aliases.where((F.length("normalized") > 3) & F.contains(F.lit(QUESTION), F.col("normalized"))).join(kept, "entity_id")
-    return found.groupBy("entity_id").agg(F.max(F.length("normalized").cast("long")).alias("letters")).orderBy(F.desc("letters"), "entity_id").limit(3)
-
-
 @query("SELECT entity_id, normalized, min(id) AS alias_id, CASE WHEN regexp_matches(normalized, '[\\x{0B80}-\\x{0BFF}]') THEN 'ta' ELSE 'other' END AS script FROM entity_aliases GROUP BY 1, 2")
 def ent15_alias_registry(t: Tables) -> DataFrame:
     out = t.entity_aliases.groupBy("entity_id", "normalized").agg(F.min("id").alias("alias_id"))
@@ -141,14 +133,6 @@ def ent13_brief_lines(t: Tables) -> DataFrame:
     return one.unpivot([], ["items", "negative", "severe", "review"], "line", "n")
 
 
-@query("SELECT doc_id, CASE WHEN strpos(lower(text), 'water') > 0 THEN substr(text, greatest(1, strpos(lower(text), 'water') - 40), 120) ELSE substr(text, 1, 120) END AS snippet FROM documents WHERE text IS NOT NULL AND lang = 'en'")
-def str10_snippets(t: Tables) -> DataFrame:
-    """The surroundings of a term, else the beginning."""
-    at = F.locate("water", F.lower("text"))
-    snippet = F.when(at > 0, F.col("text").substr(F.greatest(F.lit(1), at - 40), F.lit(120))).otherwise(F.substring("text", 1, 120))
-    return t.documents.where("text is not null and lang = 'en'").select("doc_id", snippet.alias("snippet"))
-
-
 @query("""SELECT json_extract_string(props, '$.k')::INTEGER AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""")
 def str16_json_fields(t: Tables) -> DataFrame:
     """A field of JSON text; text that isn't JSON counts as null."""

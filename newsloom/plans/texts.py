@@ -103,12 +103,6 @@ def dt3_item_weeks(t: Tables) -> DataFrame:
     return t.raw_items.select(F.col("id").alias("raw_item_id"), F.date_format(F.date_trunc("week", F.coalesce("published_at", "ingested_at")), "yyyy-MM-dd").alias("week"))
 
 
-@query(r"""SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 16))::UHUGEINT % 1024 AS INTEGER) AS bucket FROM
- (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS w FROM documents) WHERE length(w) >= 2) GROUP BY 1, 2""")
-def vec4_word_buckets(t: Tables) -> DataFrame:
-    return vectors.word_buckets(t.documents, "doc_id", "text")
-
-
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
  SELECT query_id, vec_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def vec2_cosine_topk(t: Tables) -> DataFrame:
@@ -129,22 +123,6 @@ def vec7_chunks(t: Tables) -> DataFrame:
     return cut.withColumn("token_estimate", F.greatest(F.lit(1), F.floor(F.length("chunk_text") / 4)))
 
 
-TERMS = ("ration", "water", "bridge")
-
-
-@query("""SELECT id AS raw_item_id, score::BIGINT AS score FROM (SELECT id, """ + " + ".join(f"7 * contains(ti, '{w}')::INT + contains(b, '{w}')::INT" for w in TERMS) + """ + 3 * (""" + " AND ".join(f"(contains(ti, '{w}') OR contains(b, '{w}'))" for w in TERMS) + """)::INT AS score
- FROM (SELECT id, lower(coalesce(title, '')) AS ti, lower(coalesce(clean_text_original, '')) AS b FROM raw_items)) WHERE score > 0 ORDER BY score DESC, id DESC LIMIT 20""")
-def ent10_keyword_retrieval(t: Tables) -> DataFrame:
-    """Items by weighted terms: title 7, body 1, and a bonus where all occur."""
-    ti, b = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("clean_text_original", F.lit("")))
-    score, every = F.lit(0), F.lit(True)
-    for w in TERMS:
-        score = score + 7 * F.contains(ti, F.lit(w)).cast("int") + F.contains(b, F.lit(w)).cast("int")
-        every = every & (F.contains(ti, F.lit(w)) | F.contains(b, F.lit(w)))
-    scored = t.raw_items.select(F.col("id").alias("raw_item_id"), (score + len(TERMS) * every.cast("int")).cast("long").alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), F.desc("raw_item_id")).limit(20)
-
-
 SPIKE = """WITH l AS (SELECT max(ts::DATE) AS as_of FROM events), d AS (SELECT user_id, datediff('day', ts::DATE, as_of) AS age, count(*) AS n, count(*) FILTER (event_type = 'error') AS neg FROM events CROSS JOIN l GROUP BY 1, 2),
  s AS (SELECT user_id, coalesce(sum(n) FILTER (age < 3), 0) AS recent, coalesce(sum(neg) FILTER (age < 3), 0) AS bad, coalesce(sum(n) FILTER (age BETWEEN 3 AND 12), 0) / 10.0::DOUBLE AS m, coalesce(sum(n * n) FILTER (age BETWEEN 3 AND 12), 0) / 10.0::DOUBLE AS q FROM d GROUP BY 1),
  z AS (SELECT *, (recent / 3.0::DOUBLE - m) / greatest(sqrt(greatest(q - m * m, 0)), 0.75) AS z FROM s WHERE recent >= 4)
