@@ -102,7 +102,7 @@ def evidence_answer(evidence: DataFrame, context: str = "") -> str:
     return "\n".join([*lines, "Open the source before this is used."])
 
 
-def dossier_line(dossiers: DataFrame) -> Column:
+def dossier_line() -> Column:
     """One line on an entity, from the columns of a dossier."""
     told = F.concat(F.lit("- "), "name", F.when(F.coalesce("party", F.lit("")) != "", F.concat(F.lit(" ("), "party", F.lit(")"))).otherwise(""), F.lit(": "), F.col("mentions").cast("string"), F.lit(" mentions ("), F.col("mentions_30d").cast("string"), F.lit(" in 30 days), favourability "), F.coalesce(F.col("favourability").cast("string"), F.lit("n/a")), F.lit(", "), "dominant")
     more = lambda c, label: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"; {label}: "), c)).otherwise("")

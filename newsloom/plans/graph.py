@@ -45,20 +45,6 @@ def agg12_weekly_series(t: Tables) -> DataFrame:
     return g.weekly(g.mentions(t), g.as_of(gated)).withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd")).drop("entity_id")
 
 
-SPIKES = f"""WITH m AS (SELECT * FROM {MENTIONS} WHERE entity_type IN ('person','party','district','department','office','scheme')), l AS (SELECT max(day) AS as_of FROM {GATED}),
- a AS (SELECT m.*, datediff('day', m.day, as_of) AS age FROM m CROSS JOIN l), d AS (SELECT slug, age, count(*) AS n, count(*) FILTER (portrayal = 'negative') AS neg, count(*) FILTER (severity_rank >= 3) AS sev FROM a WHERE age < 13 GROUP BY 1, 2),
- s AS (SELECT slug, coalesce(sum(n) FILTER (age < 3), 0) AS recent, coalesce(sum(neg) FILTER (age < 3), 0) AS recent_negative, coalesce(sum(sev) FILTER (age < 3), 0) AS severe, coalesce(sum(n) FILTER (age >= 3), 0) / 10.0::DOUBLE AS mean_daily, coalesce(sum(n * n) FILTER (age >= 3), 0) / 10.0::DOUBLE AS sq FROM d GROUP BY 1),
- z AS (SELECT *, (recent / 3.0::DOUBLE - mean_daily) / greatest(sqrt(greatest(sq - mean_daily * mean_daily, 0)), 0.75) AS z, recent_negative / recent::DOUBLE AS share FROM s WHERE recent >= 4)
- SELECT slug, recent::BIGINT AS recent, recent_negative::BIGINT AS recent_negative, severe::BIGINT AS severe, round(mean_daily, 6) AS mean_daily, round(z, 6) AS z, share >= 0.3 AS is_threat,
- round(CASE WHEN share >= 0.3 THEN 10 ELSE 0 END + z * (0.5 + share) * (1 + severe), 6)::DOUBLE AS score FROM z WHERE z >= 1.0"""
-
-
-@query(SPIKES)
-def ent8_spikes(t: Tables) -> DataFrame:
-    marks = g.mentions(t).where(F.col("entity_type").isin(*g.WATCHED) & (F.col("status") == "active"))
-    return g.spikes(marks, g.as_of(g.gated_items(t))).drop("entity_id")
-
-
 @query(f"""SELECT slug, arg_max(raw_item_id, (CASE WHEN portrayal = 'negative' THEN 1 ELSE 0 END) * 1000000000000000 + severity_rank * 100000000000000 + datediff('day', DATE '1970-01-01', day) * 1000000000 + raw_item_id) AS headline_item
  FROM {MENTIONS}, (SELECT max(day) AS as_of FROM {GATED}) l WHERE datediff('day', day, as_of) < 3 GROUP BY 1""")
 def win12_headlines(t: Tables) -> DataFrame:

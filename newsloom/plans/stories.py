@@ -126,13 +126,6 @@ def ent15_alias_registry(t: Tables) -> DataFrame:
     return out.withColumn("script", F.when(F.col("normalized").rlike(x.TAMIL), "ta").otherwise("other"))
 
 
-@query(f"""SELECT 'items' AS line, count(*) AS n FROM {GATED} UNION ALL SELECT 'negative', count(*) FILTER (portrayal = 'negative') FROM {GATED} UNION ALL SELECT 'severe', count(*) FILTER (severity_rank >= 3) FROM {GATED} UNION ALL SELECT 'review', count(*) FILTER (needs_human_review) FROM {GATED}""")
-def ent13_brief_lines(t: Tables) -> DataFrame:
-    """The counts of a brief, one line each, from one pass."""
-    one = g.gated_items(t).agg(F.count("*").alias("items"), g.count_of("negative").alias("negative"), F.count_if(F.col("severity_rank") >= 3).alias("severe"), F.count_if("needs_human_review").alias("review"))
-    return one.unpivot([], ["items", "negative", "severe", "review"], "line", "n")
-
-
 @query("""SELECT json_extract_string(props, '$.k')::INTEGER AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""")
 def str16_json_fields(t: Tables) -> DataFrame:
     """A field of JSON text; text that isn't JSON counts as null."""

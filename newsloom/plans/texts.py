@@ -63,11 +63,6 @@ def str3_ascii_share(t: Tables) -> DataFrame:
     return t.documents.where("text <> ''").select("doc_id", F.round(share, 6).alias("ascii_share"), (share >= 0.85).alias("looks_english"))
 
 
-@query()
-def str4_surface_keys(t: Tables) -> DataFrame:
-    return t.item_entities.select("id", x.surface_key("surface").alias("key"))
-
-
 @query(r"SELECT id AS entity_id, regexp_replace(regexp_replace(lower(canonical_name), '[^\p{L}\p{M}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM entities")
 def str5_slugs(t: Tables) -> DataFrame:
     return t.entities.select(F.col("id").alias("entity_id"), x.slug(F.col("canonical_name")).alias("slug"))
