@@ -164,3 +164,8 @@ def safe_url(url: Column, hosts: tuple[str, ...] = ()) -> Column:
 def content_hash(**fields: Column) -> Column:
     """sha256 of the canonical JSON of the fields: sorted keys, no spaces, null as the empty string."""
     return F.sha2(F.to_json(F.struct(*[F.coalesce(fields[k], F.lit("")).alias(k) for k in sorted(fields)])), 256)
+
+
+def label_string(value: Column) -> Column:
+    """A label as a string: null as <none>, truth values as true and false."""
+    return F.coalesce(value.cast("string"), F.lit("<none>"))

@@ -152,14 +152,6 @@ def set6_superseded_edges(t: Tables) -> DataFrame:
     return per.where("superseded > 0 and _new > 0").drop("_new")
 
 
-@query("""SELECT lower(source_type) AS source_type, count(*) AS article_count, count(DISTINCT regexp_extract(source_url, '^https?://([^/?#]+)', 1)) AS distinct_domains,
- count(DISTINCT regexp_extract(source_url, '^https?://([^/?#]+)', 1)) >= 3 AS has_signal FROM raw_items GROUP BY 1""")
-def src8_cross_reference(t: Tables) -> DataFrame:
-    host = F.regexp_extract("source_url", "^https?://([^/?#]+)", 1)
-    out = t.raw_items.groupBy(F.lower("source_type").alias("source_type")).agg(F.count("*").alias("article_count"), F.count_distinct(host).alias("distinct_domains"))
-    return out.withColumn("has_signal", F.col("distinct_domains") >= 3)
-
-
 @query("SELECT party, count(*) AS seats FROM entities WHERE entity_type = 'person' AND role = 'mla' GROUP BY 1 ORDER BY seats DESC, party")
 def agg19_party_seats(t: Tables) -> DataFrame:
     return t.entities.where("entity_type = 'person' and role = 'mla'").groupBy("party").agg(F.count("*").alias("seats")).orderBy(F.desc("seats"), "party")

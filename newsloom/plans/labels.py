@@ -123,16 +123,6 @@ def hsh2_split_buckets(t: Tables) -> DataFrame:
     return t.labeled_examples.select(F.col("id").alias("label_id"), (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100).cast("int").alias("bucket"))
 
 
-@query("""WITH m AS (SELECT model_name, avg(confidence) AS metric, count(*) AS examples FROM ai_analysis GROUP BY 1), l AS (SELECT max(metric) FILTER (model_name = 'local-7b') AS live FROM m)
- SELECT model_name, round(metric, 6) AS metric, model_name = 'local-7b' OR live IS NULL OR (examples > 0 AND metric >= live) AS promoted FROM m CROSS JOIN l""")
-def lbl7_promotion_gate(t: Tables) -> DataFrame:
-    """A model goes live if it is, if there is none, or if it isn't worse than the one that is."""
-    per = t.ai_analysis.groupBy("model_name").agg(F.avg("confidence").alias("metric"), F.count("*").alias("examples"))
-    live = per.agg(F.max(F.when(F.col("model_name") == "local-7b", F.col("metric"))).alias("live"))
-    gate = (F.col("model_name") == "local-7b") | F.col("live").isNull() | ((F.col("examples") > 0) & (F.col("metric") >= F.col("live")))
-    return per.crossJoin(F.broadcast(live)).select("model_name", F.round("metric", 6).alias("metric"), gate.alias("promoted"))
-
-
 @query("""SELECT model_name, count(*) AS analyses, count(DISTINCT raw_item_id) AS items, strftime(max(created_at)::TIMESTAMP, '%Y-%m-%d') AS last_day, arg_max(prompt_version, id) AS prompt FROM ai_analysis GROUP BY 1""")
 def lbl8_model_health(t: Tables) -> DataFrame:
     return t.ai_analysis.groupBy("model_name").agg(
@@ -140,13 +130,3 @@ def lbl8_model_health(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT analysis_id, count(*) AS decisions, count(DISTINCT reviewer_name) AS reviewers FROM review_decisions GROUP BY 1 HAVING count(*) > 1")
-def snk4_repeated_decisions(t: Tables) -> DataFrame:
-    return t.review_decisions.groupBy("analysis_id").agg(F.count("*").alias("decisions"), F.count_distinct("reviewer_name").alias("reviewers")).where("decisions > 1")
-
-
-@query("""SELECT raw_item_id, field, value AS gold, coalesce(lag(value) OVER (PARTITION BY raw_item_id, field ORDER BY created_at, id), '<none>') AS before FROM labeled_examples""")
-def snk3_label_history(t: Tables) -> DataFrame:
-    """What an upsert replaced: each label with the one before it."""
-    at = Window.partitionBy("raw_item_id", "field").orderBy("created_at", "id")
-    return t.labeled_examples.select("raw_item_id", "field", F.col("value").alias("gold"), F.coalesce(F.lag("value").over(at), F.lit("<none>")).alias("before"))

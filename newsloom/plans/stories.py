@@ -126,21 +126,6 @@ def ent15_alias_registry(t: Tables) -> DataFrame:
     return out.withColumn("script", F.when(F.col("normalized").rlike(x.TAMIL), "ta").otherwise("other"))
 
 
-@query("""SELECT json_extract_string(props, '$.k')::INTEGER AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""")
-def str16_json_fields(t: Tables) -> DataFrame:
-    """A field of JSON text; text that isn't JSON counts as null."""
-    k = F.from_json("props", "k int")["k"]
-    return t.events.groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-
-
-@query("""SELECT id AS label_id, CASE WHEN v IN ('pos', 'positive', 'favourable', 'good') THEN 'positive' WHEN v IN ('neg', 'negative', 'hostile', 'bad') THEN 'negative' WHEN v IN ('mixed', 'both') THEN 'mixed' ELSE 'neutral' END AS stance FROM (SELECT id, lower(trim(value)) AS v FROM labeled_examples WHERE field IN ('tvk_portrayal', 'sentiment'))""")
-def str17_enum_synonyms(t: Tables) -> DataFrame:
-    known = {"positive": ("pos", "positive", "favourable", "good"), "negative": ("neg", "negative", "hostile", "bad"), "mixed": ("mixed", "both")}
-    names = F.create_map(*[F.lit(v) for k, words in known.items() for w in words for v in (w, k)])
-    said = t.labeled_examples.where("field in ('tvk_portrayal', 'sentiment')")
-    return said.select(F.col("id").alias("label_id"), F.coalesce(names[F.lower(F.trim("value"))], F.lit("neutral")).alias("stance"))
-
-
 @query("""SELECT r.id AS raw_item_id FROM raw_items r WHERE NOT EXISTS (SELECT 1 FROM ai_analysis a WHERE a.raw_item_id = r.id AND a.model_name = 'local-7b' AND a.prompt_version = 'v1')""")
 def stm5_work_left(t: Tables) -> DataFrame:
     """Items that a model and prompt haven't seen."""

@@ -19,15 +19,6 @@ def src1_scan_news(t: Tables) -> DataFrame:
     return t.raw_items.where("source_type = 'news'").select(F.col("id").alias("raw_item_id"), "source_type", "source_name")
 
 
-@query("SELECT id AS raw_item_id, source_url AS url, title FROM raw_items WHERE source_type = 'news' AND title IS NOT NULL AND title = trim(title) AND title <> ''")
-def src2_feed_entries(t: Tables) -> DataFrame:
-    """Items written as feeds and read back."""
-    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    feed = F.concat(F.lit("<rss><channel><item><title>"), escaped(F.col("title")), F.lit("</title><link>"), escaped(F.col("source_url")), F.lit("</link></item></channel></rss>"))
-    news = t.raw_items.where("source_type = 'news' and title is not null and title = trim(title) and title <> ''").select(F.col("id").cast("string").alias("raw_item_id"), feed.alias("xml"))
-    return pages.parse_feeds(news, "raw_item_id").select(F.col("raw_item_id").cast("long").alias("raw_item_id"), "url", "title")
-
-
 @query()
 def src3_listing_links(t: Tables) -> DataFrame:
     return pages.parse_listings(t.raw_items.where("source_type in ('news', 'press_release')"), "id", "raw_text_original", "source_url")
@@ -43,12 +34,6 @@ def src12_prefix_lookup(t: Tables) -> DataFrame:
     return t.raw_items.where(F.col("source_url").startswith("https://vethukulam0.example/")).select(F.col("id").alias("raw_item_id"), "source_url")
 
 
-@query("SELECT id AS raw_item_id, 'Post by ' || source_name AS title, clean_text_original AS text FROM raw_items WHERE source_type = 'x' AND trim(clean_text_original) <> ''")
-def prj7_posts(t: Tables) -> DataFrame:
-    posts = t.raw_items.where("source_type = 'x' and trim(clean_text_original) <> ''")
-    return posts.select(F.col("id").alias("raw_item_id"), F.concat(F.lit("Post by "), "source_name").alias("title"), F.col("clean_text_original").alias("text"))
-
-
 @query(r"""SELECT id AS raw_item_id, CASE WHEN regexp_matches(clean_text_original, '[\x{0B80}-\x{0BFF}]') AND regexp_matches(clean_text_original, '[A-Za-z]') THEN 'ta-en-mixed'
  WHEN regexp_matches(clean_text_original, '[\x{0B80}-\x{0BFF}]') THEN 'ta' WHEN regexp_matches(clean_text_original, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS label,
  round(length(regexp_replace(clean_text_original, '[^\x{0B80}-\x{0BFF}]', '', 'g')) / nullif(length(clean_text_original), 0)::DOUBLE, 6) AS tamil_share FROM raw_items WHERE clean_text_original <> ''""")
@@ -73,11 +58,6 @@ def str7_short_titles(t: Tables) -> DataFrame:
     return t.raw_items.where("title is not null").select(F.col("id").alias("raw_item_id"), x.shortened(F.col("title"), 80).alias("short"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])council($|[^\p{L}\p{N}_])') AS has_council FROM documents WHERE text IS NOT NULL""")
-def str12_word_match(t: Tables) -> DataFrame:
-    return t.documents.where("text is not null").select("doc_id", x.has_word(F.col("text"), "council").alias("has_council"))
-
-
 @query()
 def url1_normal_urls(t: Tables) -> DataFrame:
     return t.raw_items.select(F.col("id").alias("raw_item_id"), x.normal_url("source_url").alias("url"))

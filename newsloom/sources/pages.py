@@ -10,10 +10,10 @@ from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paths that no listing entry has.
+# Whole paths that are no articles.
 BLOCKED = ("rss", "epaper", "privacy-policy", "terms")
 
 
@@ -45,10 +45,14 @@ def parse_feeds(feeds: DataFrame, source: str = "source_name", xml: str = "xml")
             yield pd.DataFrame([(s, *e) for s, x in zip(f[source], f[xml]) for e in feed_entries(x)], columns=[source, "url", "title", "published"])
 
     parsed = feeds.select(source, xml).mapInPandas(work, f"{source} string, url string, title string, published string")
-    formats = ["d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssX"]
-    bare = F.regexp_replace("published", r"^[A-Za-z]{3},\s*", "")  # Spark reads no names of days
-    when = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
-    return parsed.select(source, "url", "title", when.alias("published_at"))
+    return parsed.select(source, "url", "title", lenient_time(F.col("published")).alias("published_at"))
+
+
+def lenient_time(said: Column) -> Column:
+    """A time as feeds and pages give it: with or without a day's name, a zone as a number, Z or GMT, ISO with or without zone (then UTC); null for anything else."""
+    formats = ["d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"]
+    bare = F.regexp_replace(F.regexp_replace(F.trim(said), r"^[A-Za-z]{3,9},\s*", ""), r"\s*(?:GMT|UTC|UT)$", " +0000")  # Spark reads no names of days
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats])
 
 
 _LINK = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", re.S | re.I)
@@ -61,7 +65,7 @@ def listing_links(page: str | None, base: str | None) -> list[tuple[str, str]]:
         url = urljoin(base or "", html.unescape(href))
         p = urlsplit(url)
         title = " ".join(html.unescape(re.sub("<[^>]*>", " ", text)).split())
-        if p.netloc.lower() == host and p.path not in ("", "/") and len(title) >= 10 and not any(b in p.path.lower().split("/") for b in BLOCKED):
+        if p.netloc.lower() == host and p.path not in ("", "/") and len(title) >= 10 and p.path.strip("/").lower() not in BLOCKED:
             out.append((url, title))
     return out
 
@@ -81,33 +85,61 @@ def parse_listings(pages: DataFrame, key: str, page: str, base: str, limit: int
     return first.select(key, "url", F.col("f.title").alias("title"), rank.alias("rank")).where(F.col("rank") <= limit)
 
 
+#: Characters that a paragraph, and all paragraphs together, have at least for the main extraction to hold.
+LEAST_PARAGRAPH, LEAST_BODY = 40, 120
+
+
 class _Text(HTMLParser):
+    """Collects the text of a page without scripts and styles, and apart from it the paragraphs outside of what surrounds an article."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.hidden = 0
+        self.paragraphs: list[str] = []
+        self.hidden = self.around = 0
+        self.inside: list[str] | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.hidden += tag in ("script", "style", "noscript")
+        self.around += tag in ("nav", "aside", "footer", "header", "form")
+        if tag == "p":
+            self._close()
+            self.inside = []
 
     def handle_endtag(self, tag: str) -> None:
         self.hidden -= tag in ("script", "style", "noscript") and self.hidden > 0
+        self.around -= tag in ("nav", "aside", "footer", "header", "form") and self.around > 0
+        if tag in ("p", "div", "article", "section", "body"):
+            self._close()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.out.append(data)
+            if self.inside is not None and not self.around:
+                self.inside.append(data)
+
+    def _close(self) -> None:
+        if self.inside is not None:
+            text = " ".join("".join(self.inside).split())
+            if len(text) >= LEAST_PARAGRAPH:
+                self.paragraphs.append(text)
+        self.inside = None
 
 
 _DESCRIPTION = re.compile(r"<meta\b[^>]*name\s*=\s*[\"']description[\"'][^>]*content\s*=\s*[\"']([^\"']*)", re.I)
 
 
 def article_text(page: str | None) -> tuple[str, bool]:
-    """The text of a page and whether the page gave any: its description, else all that isn't script or style."""
-    if m := _DESCRIPTION.search(page or ""):
-        if m[1].strip():
-            return html.unescape(m[1]).strip(), True
+    """The text of a page and whether extraction gave any: its longer paragraphs, else its description, else all that isn't script or style."""
     p = _Text()
     p.feed(page or "")
+    p.close()
+    p._close()
+    body = "\n".join(p.paragraphs)
+    if len(body) >= LEAST_BODY:
+        return body, True
+    if (m := _DESCRIPTION.search(page or "")) and m[1].strip():
+        return html.unescape(m[1]).strip(), True
     text = " ".join(" ".join(p.out).split())
     return text, bool(text)
 
