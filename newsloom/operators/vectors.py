@@ -113,7 +113,7 @@ def hash_embedding(text: Column, dimension: int = 64) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(digest.substr(2 * i + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
 
     parts = [part(n) for n in range(-(-dimension // 32))]
-    return unit(F.slice(F.flatten(F.array(*parts)), 1, dimension))
+    return F.when(text.isNotNull(), unit(F.slice(F.flatten(F.array(*parts)), 1, dimension)))
 
 
 def provider_embeddings(texts: DataFrame, key: str, text: str, provider: Callable[[list[str]], list[list[float]]], dimension: int) -> DataFrame:
