@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import salted_join, stored
+from ..session import stored
 
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(node, root) of a forest given as (node, parent), roots being their own parents: pointer jumping, a round for each doubling of the depth."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        jumped = stored(salted_join(parents, up, ["parent"], F.col("node")).select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "jump")
+        jumped = stored(parents.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "jump")
         moved = jumped.where("moved").limit(1).count()
         parents = jumped.select("node", "parent")
         if not moved:
@@ -26,8 +26,9 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     join the forest, which is kept as tables in the shared folder, and what they
     connect is contracted. At least half of the components go in each round. Result:
     forest (u, v, w) and components (node, root). Loops and rows with null ends are
-    ignored, parallel edges count once; an empty input gives empty tables. A node with
-    very many edges is joined salted.
+    ignored, parallel edges count once; an empty input gives empty tables. Joins on nodes
+    with very many edges are split by the adaptive handling of skewed joins; to salt them
+    would repeat every node.
     """
     key = F.struct("w", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"))
     live = edges.where("u is not null and v is not null and u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), key.alias("k"))
@@ -46,8 +47,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         relabel = roots.select(F.col("node").alias("root"), F.col("root").alias("_to"))
         components = stored(components.join(relabel, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "components")
         for end in ("a", "b"):
-            other = "b" if end == "a" else "a"
-            live = salted_join(live, roots.select(F.col("node").alias(end), F.col("root").alias("_to")), [end], F.col(other)).drop(end).withColumnRenamed("_to", end)
+            live = live.join(roots.select(F.col("node").alias(end), F.col("root").alias("_to")), end).drop(end).withColumnRenamed("_to", end)
         live = stored(live.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("k").alias("k")), "edges")
     chosen = edges.select("u", "v", "w").limit(0)
     for part in forest:
