@@ -168,9 +168,8 @@ def known(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH k AS {KNOWN}, d AS MATERIALIZED (SELECT doc_id, lower(coalesce(title, '')) AS ti, lower(coalesce(text, '')) AS bo FROM documents),
- m AS (SELECT doc_id, part, alias, district, CASE WHEN regexp_matches(alias, '^[\\x00-\\x7F]+$') THEN regexp_extract(s, '(?:^|{EDGE})' || alias || '(?:$|{EDGE})', 0) ELSE alias END AS hit, s AS low
- FROM (SELECT doc_id, 1 AS part, ti AS s FROM d UNION ALL SELECT doc_id, 2, bo FROM d) JOIN k ON contains(s, alias)),
- p AS (SELECT doc_id, part, strpos(low, hit) + CASE WHEN starts_with(hit, alias) THEN 0 ELSE 1 END AS pos, -length(alias) AS len, district FROM m WHERE hit <> ''),
+ n AS MATERIALIZED (SELECT doc_id, part, s, ' ' || regexp_replace(s, '{EDGE}', ' ', 'g') || ' ' AS w FROM (SELECT doc_id, 1 AS part, ti AS s FROM d UNION ALL SELECT doc_id, 2, bo FROM d)), q AS MATERIALIZED (SELECT *, regexp_matches(alias, '^[\\x00-\\x7F]+$') AS latin FROM k),
+ p AS (SELECT doc_id, part, CASE WHEN latin THEN strpos(w, ' ' || alias || ' ') ELSE strpos(s, alias) END AS pos, -length(alias) AS len, district FROM n JOIN q ON CASE WHEN latin THEN contains(w, ' ' || alias || ' ') ELSE contains(s, alias) END),
  f AS (SELECT doc_id, arg_min(district, part * 1000000000000 + pos * 1000 + 500 + len) AS district FROM p GROUP BY 1) SELECT d.doc_id, f.district FROM d LEFT JOIN f ON f.doc_id = d.doc_id""")
 def cls14_detected_districts(t: Tables) -> DataFrame:
     """The district that a title names first, else the text; all names of the districts are taken."""
