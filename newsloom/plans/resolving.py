@@ -230,10 +230,10 @@ def ent14_dossier_pages(t: Tables) -> DataFrame:
     return dossiers(t).select("slug", dossier_page().alias("page"))
 
 
-@query(f"SELECT raw_item_id, slug, strftime(day, '%Y-%m-%d') AS day, portrayal, severity_rank, source_name FROM {MENTIONS} WHERE entity_type = 'scheme'")
+@query(f"SELECT raw_item_id, slug, strftime(day, '%Y-%m-%d') AS day, portrayal, severity_rank, source_name FROM {MENTIONS} WHERE entity_type <> 'source'")
 def prj9_evidence_rows(t: Tables) -> DataFrame:
     """What a dossier shows of an item."""
-    return g.mentions(t).where("entity_type = 'scheme'").select("raw_item_id", "slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "portrayal", "severity_rank", "source_name")
+    return g.mentions(t).where("entity_type <> 'source'").select("raw_item_id", "slug", F.date_format("day", "yyyy-MM-dd").alias("day"), "portrayal", "severity_rank", "source_name")
 
 
 __all__ = ["pl"]
