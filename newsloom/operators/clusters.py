@@ -2,101 +2,219 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunks import lead_chunk
 from ..session import small, stored
 from .forest import spanning_forest
-from .vectors import DIMENSION, word_buckets
+from .vectors import DIMENSION
 
 #: Words that tell nothing of a story.
 STOP = ("the", "and", "of", "in", "to", "a", "is", "for", "on", "at", "by", "with", "that", "was", "as", "an", "it", "from", "be", "has", "said")
-#: 1 - (1 - s^ROWS)^BANDS of the pairs whose sets of buckets overlap by s meet.
-BANDS, ROWS = 64, 4
+#: Vectors of a block whose pairs are compared in a task, rows of one product, items that are placed at once.
+BLOCK, CHUNK, STEP = 8192, 1024, 128
+#: Links up to which one task connects them, in 16 bytes each; words whose buckets a task keeps at hand.
+FEW_LINKS, KNOWN_WORDS = 5_000_000, 1_000_000
+#: More than the products of rounded vectors are off.
+SLACK = 1e-4
 BRIEFING, THEMES = 0.85, 0.7
 
 
-def lead_vectors(items: DataFrame, text: str = "text") -> DataFrame:
-    """(id, ord, buckets, counts): the lead chunk of each item as counts of word buckets, sorted by bucket; no words give empty arrays. items: id, ord and the text."""
-    leads = items.select("id", "ord", lead_chunk(F.col(text)).alias("_lead"))
-    counted = word_buckets(leads, "id", "_lead", DIMENSION, STOP).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("w"))
-    empty = F.array().cast("array<int>")
-    return leads.drop("_lead").join(counted, "id", "left").select("id", "ord", F.coalesce(F.col("w.bucket").cast("array<int>"), empty).alias("buckets"), F.coalesce(F.col("w.n").cast("array<int>"), empty).alias("counts"))
+def _parts(df: DataFrame) -> int:
+    """Parts to spread rows over, which a small table needs as well where Python works on them."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def _meeting(vectors: DataFrame) -> DataFrame:
-    """(a, b): pairs that share a band of min-hashes of their buckets, each text with the first and the one before it in the bucket."""
+def lead_vectors(items: DataFrame, text: str = "text") -> DataFrame:
+    """(id, ord, buckets, counts): the lead chunk of each item as counts of word buckets, sorted by bucket; no words give empty arrays. items: id, ord and the text."""
+    words = F.regexp_extract_all(F.lower("_lead"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
+    # A small file is read by one task; what follows is spread over all.
+    spread = items.select("id", "ord", lead_chunk(F.col(text)).alias("_lead")).repartition(_parts(items), "id").select("id", "ord", words.alias("words"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        draw = np.random.default_rng(5)
-        place = np.argsort(draw.random((BANDS * ROWS, DIMENSION)), axis=1).astype(np.int64)
+        known: dict[str, int] = {}
         for f in frames:
-            ids, keys = [], []
-            for i, b in zip(f["id"], f["buckets"]):
-                if len(b):
-                    least = place[:, np.asarray(b, np.int64)].min(axis=1).reshape(BANDS, ROWS)
-                    keys.append((least * DIMENSION ** np.arange(ROWS)).sum(axis=1) * BANDS + np.arange(BANDS))
-                    ids.append(np.full(BANDS, i))
-            yield pd.DataFrame({"id": np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), "bucket": np.concatenate([*keys, np.zeros(0, np.int64)]).astype(np.int64)})
+            found = []
+            for words in f["words"]:
+                at = []
+                for w in words:
+                    if len(w) < 2 or w in STOP:
+                        continue
+                    if w not in known:
+                        known[w] = int(hashlib.md5(w.encode()).hexdigest()[:16], 16) % DIMENSION
+                    at.append(known[w])
+                found.append(np.unique(np.asarray(at, np.int32), return_counts=True))
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            yield pd.DataFrame({"id": f["id"], "ord": f["ord"], "buckets": [b for b, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
+
+    kinds = {c: items.schema[c].dataType.simpleString() for c in ("id", "ord")}
+    return spread.mapInPandas(work, f"id {kinds['id']}, ord {kinds['ord']}, buckets array<int>, counts array<int>")
+
+
+def _rows(buckets: Sequence[np.ndarray], counts: Sequence[np.ndarray]) -> np.ndarray:
+    """Sparse vectors as the rows of a matrix, with norm 1."""
+    at = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
+    out = np.zeros((len(buckets), DIMENSION), np.float32)
+    if len(at):
+        out[at, np.concatenate([np.asarray(b, np.int64) for b in buckets])] = np.concatenate([np.asarray(n, np.float32) for n in counts])
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
+
+
+def _merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each node's component after links between i and j; root: that before."""
+    while True:
+        i, j = root[i], root[j]
+        apart = i != j
+        if not apart.any():
+            return root
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(i, j), np.minimum(i, j))
+        while not ((above := root[root]) == root).all():
+            root = above
+
+
+def _joined(a: np.ndarray, b: np.ndarray | None, least: float) -> np.ndarray:
+    """For each row of a, then of b, the first row it is connected with by links between a and b (or within a, if b is None) of at least that cosine."""
+    n = len(a)
+    other, off = (a, 0) if b is None else (b, n)
+    root = np.arange(n + (0 if b is None else len(b)))
+    for start in range(0, n, CHUNK):
+        i, j = np.nonzero(a[start : start + CHUNK] @ other.T >= least)
+        root = _merged(root, i + start, j + off)
+    return root
+
+
+def _links(vectors: DataFrame, least: float) -> DataFrame:
+    """(u, v): links that connect what all pairs of at least that cosine connect. Every pair is compared, a block of vectors with another in a task, which gives links of a forest only."""
+    n = vectors.count()
+    blocks = max(-(-n // BLOCK), min(8, -(-n // CHUNK)))
+    tasks = max(1, blocks * (blocks + 1) // 2)
+    own = F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))).cast("int")
+    meets = vectors.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
+    p, q = F.least("own", "other"), F.greatest("own", "other")
+    # Rows and columns of a triangle as numbers of tasks.
+    placed = meets.withColumn("task", (q * (q + 1) / 2 + p).cast("int")).repartitionById(tasks, "task")
 
-    placed = stored(vectors.select("id", "buckets").mapInPandas(work, "id long, bucket long"), "storybuckets")
-    heads = placed.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    star = placed.join(heads, "bucket").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), "bucket")
-    before = F.lag("b").over(Window.partitionBy("bucket").orderBy("b"))
-    chain = star.select("b", before.alias("a")).where("a is not null").select("a", "b")
-    return star.select("a", "b").union(chain).distinct()
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: tuple[list, list] = ([], [])
+        parts: tuple[list, list] = ([], [])
+        for f in frames:
+            second = (f["own"] > f["other"]).to_numpy()
+            for side, f_of in ((0, f[~second]), (1, f[second])):
+                if len(f_of):
+                    ids[side].append(f_of["id"].to_numpy())
+                    parts[side].append(_rows(f_of["buckets"].tolist(), f_of["counts"].tolist()))
+        if not parts[0] and not parts[1]:
+            return
+        one, two = (np.concatenate(x) if x else None for x in parts)
+        every = np.concatenate([*ids[0], *ids[1]]).astype(np.int64)
+        if one is None:
+            return
+        root = _joined(one, two, least - SLACK)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        yield pd.DataFrame({"u": every[root[linked]], "v": every[linked]})
+
+    return placed.select("id", "own", "other", "buckets", "counts").mapInPandas(work, "u long, v long")
 
 
-def dot(a: Column, m: Column, b: Column, n: Column) -> Column:
-    """The product of two sparse vectors given as sorted places and counts."""
-    of = F.map_from_arrays(b, n)
-    return F.aggregate(F.arrays_zip(a.alias("p"), m.alias("c")), F.lit(0).cast("long"), lambda s, x: s + x["c"] * F.coalesce(F.try_element_at(of, x["p"]), F.lit(0)))
+def components(vectors: DataFrame, least: float) -> DataFrame:
+    """(id, component): items that links of at least that cosine connect; others are components of their own. Equal vectors are compared once."""
+    worded = vectors.where(F.size("buckets") > 0)
+    first = stored(worded.groupBy("buckets", "counts").agg(F.min("id").alias("id"), F.collect_list("id").alias("same")), "storyvectors")
+    links = stored(_links(first, least), "storylinks")
+    if links.count() <= FEW_LINKS:
 
+        def connect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            every = pd.concat([pd.DataFrame({"u": [], "v": []}, dtype="int64"), *frames])
+            nodes, at = np.unique(every[["u", "v"]].to_numpy(np.int64), return_inverse=True)
+            at = at.reshape(-1, 2)
+            yield pd.DataFrame({"node": nodes, "root": nodes[_merged(np.arange(len(nodes)), at[:, 0], at[:, 1])]})
 
-def components(vectors: DataFrame, least: float) -> DataFrame:
-    """(id, component): items that links of at least that cosine connect; others are components of their own."""
-    pairs = _meeting(vectors)
-    norm = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c * c).cast("double"))
-    v = stored(vectors.select("id", "buckets", "counts", norm.alias("norm")), "storyvectors")
-    one, two = v.select(*[F.col(c).alias(f"a_{c}") for c in v.columns]), v.select(*[F.col(c).alias(f"b_{c}") for c in v.columns])
-    both = pairs.join(one, F.col("a") == F.col("a_id")).join(two, F.col("b") == F.col("b_id"))
-    near = dot(F.col("a_buckets"), F.col("a_counts"), F.col("b_buckets"), F.col("b_counts")) / (F.col("a_norm") * F.col("b_norm"))
-    links = stored(both.where(near >= least).select(F.col("a").alias("u"), F.col("b").alias("v"), F.xxhash64("a", "b").alias("w")), "storylinks")
-    _, found = spanning_forest(links)
-    return vectors.select("id").join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
+        found = links.coalesce(1).mapInPandas(connect, "node long, root long")
+    else:
+        found = spanning_forest(links.select("u", "v", F.xxhash64("u", "v").alias("w")))[1]
+    rooted = first.select("id", "same").join(found.select(F.col("node").alias("id"), "root"), "id", "left").select(F.explode("same").alias("id"), F.coalesce("root", "id").alias("component"))
+    return vectors.select("id").join(rooted, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 class _Pass:
-    """The clusters of one component so far: their sums, lengths and first members."""
+    """The clusters of one component so far: first members, sums (of one member as it is, of more as rows of a matrix) and means, rounded, to search."""
 
     def __init__(self, threshold: float, mode: str) -> None:
-        self.threshold, self.mode = threshold, mode
-        self.sums, self.means, self.firsts = np.zeros((4, DIMENSION)), np.zeros((4, DIMENSION)), []
-
-    def place(self, item: int, at: np.ndarray, n: np.ndarray) -> int | None:
-        """The first member of the cluster the item goes to; None for an item without words where only themes are wanted."""
-        made = len(self.firsts)
-        norm = np.sqrt((n * n).sum())
-        if not norm:
-            return item if self.mode == "best" else None
-        v = n / norm
-        near = self.means[:made, at] @ v
-        fits = np.flatnonzero(near >= self.threshold)
-        if len(fits):
-            c = int(fits[np.argmax(near[fits])] if self.mode == "best" else fits[0])
-        else:
-            c = made
-            self.firsts.append(item)
-            if c == len(self.sums):
-                self.sums, self.means = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.means, np.zeros_like(self.means)])
-        self.sums[c, at] += v
-        self.means[c] = self.sums[c] / np.linalg.norm(self.sums[c])
-        return self.firsts[c]
+        self.threshold, self.mode, self.firsts = threshold, mode, []
+        self.single, self.row, self.norm = [], [], []
+        self.sums, self.rows = np.zeros((4, DIMENSION)), 0
+        self.means = np.zeros((4, DIMENSION), np.float32)
+
+    def _near(self, c: int, at: np.ndarray, v: np.ndarray, spread: np.ndarray) -> float:
+        if self.row[c] is None:
+            on, of = self.single[c]
+            return float(spread[on] @ of)
+        return float(self.sums[self.row[c], at] @ v) / self.norm[c]
+
+    def _add(self, c: int, at: np.ndarray, v: np.ndarray) -> None:
+        if c == len(self.firsts) - 1 and len(self.single) == c:
+            self.single.append((at, v))
+            self.row.append(None)
+            self.norm.append(1.0)
+            if c == len(self.means):
+                self.means = np.concatenate([self.means, np.zeros_like(self.means)])
+            self.means[c, at] = v
+            return
+        if self.row[c] is None:
+            if self.rows == len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+            on, of = self.single[c]
+            self.row[c], self.single[c] = self.rows, None
+            self.sums[self.rows, on] = of
+            self.rows += 1
+        total = self.sums[self.row[c]]
+        total[at] += v
+        self.norm[c] = float(np.linalg.norm(total))
+        self.means[c] = total / self.norm[c]
+
+    def place(self, ids: list[int], items: list[tuple[np.ndarray, np.ndarray]]) -> list[int | None]:
+        """The first members of the clusters that items go to, in order; None for one without words where only themes are wanted.
+
+        Clusters that are there before are searched for all items at once; those made or
+        changed since are compared one by one. What comes near is weighed exactly."""
+        made, out = len(self.firsts), []
+        found = self.means[:made] @ _rows([at for at, _ in items], [n for _, n in items]).T >= self.threshold - SLACK if made else None
+        changed: dict[int, None] = {}
+        spread = np.zeros(DIMENSION)
+        for k, (item, (at, n)) in enumerate(zip(ids, items)):
+            norm = np.sqrt((n * n).sum())
+            if not norm:
+                out.append(item if self.mode == "best" else None)
+                continue
+            v = n / norm
+            spread[at] = v
+            touched = np.fromiter(changed, np.int64, len(changed))
+            near_touched = touched[self.means[touched] @ spread.astype(np.float32) >= self.threshold - SLACK] if len(touched) else touched
+            before = np.flatnonzero(found[:, k]) if made else touched[:0]
+            best, c = -1.0, None
+            for at_c in np.union1d(before, near_touched).tolist():
+                near = self._near(at_c, at, v, spread)
+                if near >= self.threshold and near > best:
+                    best, c = near, at_c
+                    if self.mode == "first":
+                        break
+            if c is None:
+                c = len(self.firsts)
+                self.firsts.append(item)
+            self._add(c, at, v)
+            changed[c] = None
+            spread[at] = 0
+            out.append(self.firsts[c])
+        return out
 
 
 def story_clusters(items: DataFrame, threshold: float = BRIEFING, mode: str = "best", text: str = "text") -> DataFrame:
@@ -104,28 +222,33 @@ def story_clusters(items: DataFrame, threshold: float = BRIEFING, mode: str = "b
 
     A cluster never leaves a component of links of cosine threshold squared, for an item
     near its mean is that near to a member; so components are worked off apart from each
-    other, in order, a batch at a time, and only their clusters are held. Links are
-    searched by min-hashes, so one is missed now and then (see README). Items without
-    words are clusters of their own (best) or left out (first).
+    other, in order, some items at a time, and only their clusters are held. All pairs are
+    searched for links, so the clusters are those of the pass. Items without words are
+    clusters of their own (best) or left out (first).
     """
     vectors = stored(lead_vectors(items, text), "leads")
     parts = components(vectors, threshold * threshold)
-    ordered = vectors.join(parts, "id").repartition("component").sortWithinPartitions("component", F.desc("ord"), F.desc("id"))
+    together = stored(vectors.join(parts, "id"), "storyparts")
+    more = together.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1").select("component")
+    alone = together.join(more, "component", "left_anti").where(F.lit(mode == "best") | (F.size("buckets") > 0)).select("id", F.col("id").alias("cluster_id"))
+    ordered = together.join(more, "component", "left_semi").repartition(_parts(items), "component").sortWithinPartitions("component", F.desc("ord"), F.desc("id"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, now = None, None
         for f in frames:
-            ids, to = [], []
-            for component, i, b, n in zip(f["component"], f["id"], f["buckets"], f["counts"]):
-                if now is None or component != at:
-                    at, now = component, _Pass(threshold, mode)
-                c = now.place(int(i), np.asarray(b, np.int64), np.asarray(n, np.float64))
-                if c is not None:
-                    ids.append(int(i))
-                    to.append(c)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "cluster_id": pd.Series(to, dtype="int64")})
-
-    return ordered.select("component", "id", "buckets", "counts").mapInPandas(work, "id long, cluster_id long")
+            ids, to = f["id"].tolist(), []
+            component = f["component"].to_numpy()
+            pairs = [(np.asarray(b, np.int64), np.asarray(n, np.float64)) for b, n in zip(f["buckets"], f["counts"])]
+            edges = [0, *(np.flatnonzero(component[1:] != component[:-1]) + 1).tolist(), len(ids)]
+            for start, end in zip(edges, edges[1:]):
+                if start < end and (now is None or component[start] != at):
+                    at, now = component[start], _Pass(threshold, mode)
+                for k in range(start, end, STEP):
+                    to += now.place(ids[k : min(k + STEP, end)], pairs[k : min(k + STEP, end)])
+            kept = [(i, c) for i, c in zip(ids, to) if c is not None]
+            yield pd.DataFrame({"id": pd.Series([i for i, _ in kept], dtype="int64"), "cluster_id": pd.Series([c for _, c in kept], dtype="int64")})
+
+    return ordered.select("component", "id", "buckets", "counts").mapInPandas(work, "id long, cluster_id long").unionByName(alone)
 
 
 def representatives(members: DataFrame) -> DataFrame:

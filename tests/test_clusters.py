@@ -36,6 +36,41 @@ def test_one_pass_over_all_items(spark):
     assert cl.story_clusters(df.limit(0)).count() == 0
 
 
+def _by_pass(df, threshold, mode):
+    rows = sorted(cl.lead_vectors(df).collect(), key=lambda r: (-r["ord"], -r["id"]))
+    dense = np.zeros((len(rows), DIMENSION))
+    for k, r in enumerate(rows):
+        dense[k, r["buckets"]] = r["counts"]
+    want, first = {}, {}
+    for r, c in zip(rows, assign_in_order(dense / np.linalg.norm(dense, axis=1, keepdims=True), threshold, mode)):
+        want[r["id"]] = first.setdefault(c, r["id"])
+    return want
+
+
+def test_like_items_that_share_few_words_and_blocks(spark):
+    """Each story is two words said often, among words of the item alone; and there are more items than a block holds."""
+    rows = [(i, i * 7 % 1500, " ".join([f"story{i % 40}"] * 9 + [f"again{i % 40}"] * 8 + [f"own{i}x{k}" for k in range(i % 31)])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, ord long, text string")
+    for threshold, mode in ((0.85, "best"), (0.7, "first")):
+        want = _by_pass(df, threshold, mode)
+        assert {r["id"]: r["cluster_id"] for r in cl.story_clusters(df, threshold, mode).collect()} == want
+        assert len(set(want.values())) < 600
+    vectors = cl.lead_vectors(df).where("size(buckets) > 0")
+    held = {r["id"]: r["component"] for r in cl.components(vectors, 0.49).collect()}
+    assert len(set(held.values())) <= 40
+    # Links of a forest for each two blocks, not all pairs of a story.
+    assert cl._links(vectors, 0.49).count() < 3 * 1500
+
+
+def test_links_are_connected_alike_by_one_task_and_by_rounds(spark, monkeypatch):
+    rows = [(i, i, " ".join([f"story{i % 5}"] * 3 + [f"own{i}"])) for i in range(40)] + [(50, 1, "alone"), (51, 2, "story1 story1 story1 own1")]
+    vectors = cl.lead_vectors(spark.createDataFrame(rows, "id long, ord long, text string"))
+    groups = lambda: {frozenset(r["ids"]) for r in cl.components(vectors, 0.7).groupBy("component").agg({"id": "collect_list"}).toDF("component", "ids").collect()}
+    one = groups()
+    monkeypatch.setattr(cl, "FEW_LINKS", 0)
+    assert groups() == one and len(one) == 6
+
+
 def test_cards(spark):
     schema = "cluster_id long, id long, ord long, analysis_id long, title string, source_name string, government_relevance string, portrayal string, severity string, action_priority string, needs_human_review boolean, public_issue string, department string, district string, summary string, published_at timestamp, ingested_at timestamp, people_issue boolean"
     row = lambda c, i, rel, p, title, people=False, rev=False: (c, i, i, i * 10, title, f"s{i}", rel, p, "low", "low", rev, "", "", "", "", None, None, people)
