@@ -187,7 +187,7 @@ class _Pass:
         Clusters that are there before are searched for all items at once; those made or
         changed since are compared one by one. What comes near is weighed exactly."""
         made, out = len(self.firsts), []
-        found = self.means[:made] @ _rows([at for at, _ in items], [n for _, n in items]).T >= self.threshold - SLACK if made else None
+        found = _rows([at for at, _ in items], [n for _, n in items]) @ self.means[:made].T >= self.threshold - SLACK if made else None
         changed: dict[int, None] = {}
         spread = np.zeros(DIMENSION)
         for k, (item, (at, n)) in enumerate(zip(ids, items)):
@@ -199,7 +199,7 @@ class _Pass:
             spread[at] = v
             touched = np.fromiter(changed, np.int64, len(changed))
             near_touched = touched[self.means[touched] @ spread.astype(np.float32) >= self.threshold - SLACK] if len(touched) else touched
-            before = np.flatnonzero(found[:, k]) if made else touched[:0]
+            before = np.flatnonzero(found[k]) if made else touched[:0]
             best, c = -1.0, None
             for at_c in np.union1d(before, near_touched).tolist():
                 near = self._near(at_c, at, v, spread)
