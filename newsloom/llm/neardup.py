@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small, stored
@@ -41,6 +41,8 @@ FLOOR, STEEP, AGAIN = 0.001, 1.5, 1.1
 CELLS, BLOCKS = 1 << 20, 64
 #: Bits of the sketch of a text that tells which pairs can't overlap enough.
 BITS = 2048
+#: Pairs whose sketches a task compares at once.
+PAIRS = 1 << 16
 _MAX = np.iinfo(np.uint64).max
 
 
@@ -175,8 +177,8 @@ class Sampler:
         return log_a[rows, best], _mix(shingles[best] ^ _mix(level))
 
 
-def buckets(sets: DataFrame, weights: Weights) -> DataFrame:
-    """(id, bucket): a row for each text and band; texts in one bucket agree in all samples of the band."""
+def bucket_lists(sets: DataFrame, weights: Weights) -> DataFrame:
+    """(id, buckets): the bucket of each band; texts in one bucket agree in all samples of the band."""
     shared = sets.sparkSession.sparkContext.broadcast(weights)  # of bounded size, see shingle_weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +196,16 @@ def buckets(sets: DataFrame, weights: Weights) -> DataFrame:
                     for k in range(h.shape[1]):
                         part[:] = _mix(part ^ h[:, k])
                 out[i] = b
-            ids = np.repeat(np.asarray(batch.column("id")), len(number))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out.reshape(-1).view(np.int64), pa.int64())], names=["id", "bucket"])
+            bounds = pa.array(np.arange(len(out) + 1, dtype=np.int32) * len(number), pa.int32())
+            lists = pa.ListArray.from_arrays(bounds, pa.array(out.reshape(-1).view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "buckets"])
+
+    return sets.mapInArrow(work, "id long, buckets array<long>")
 
-    return sets.mapInArrow(work, "id long, bucket long")
+
+def buckets(sets: DataFrame, weights: Weights) -> DataFrame:
+    """(id, bucket): a row for each text and band."""
+    return bucket_lists(sets, weights).select("id", F.explode("buckets").alias("bucket"))
 
 
 def sketches(sets: DataFrame) -> DataFrame:
@@ -231,6 +239,70 @@ def possible(pairs: DataFrame, drawn: DataFrame, similar: float = SIMILAR) -> Da
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(least >= similar * most).mapInArrow(work, "a long, b long")
 
 
+def _compared(f: pd.DataFrame, similar: float) -> pd.DataFrame:
+    """`meetings` of rows that hold whole buckets, sorted by bucket and id."""
+    bucket, ids, m = (f[c].to_numpy(np.int64) for c in ("bucket", "id", "size"))
+    bits = np.frombuffer(b"".join(f["bits"]), np.uint64).reshape(-1, BITS // 64)
+    on = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    sizes = np.diff(np.append(starts, len(ids)))
+    begin, n = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for k in range(0, len(i), PAIRS):
+            p, q = i[k : k + PAIRS], j[k : k + PAIRS]
+            both = np.bitwise_count(bits[p] & bits[q]).sum(axis=1, dtype=np.int64)
+            most = both + np.minimum(m[p] - on[p], m[q] - on[q])
+            out[k : k + PAIRS] = most * (1 + similar) >= similar * (m[p] + m[q])
+        return out & (np.minimum(m[i], m[j]) >= similar * np.maximum(m[i], m[j]))
+
+    rows = np.arange(len(ids))
+    others = rows[rows != begin]
+    near = may(begin[others], others)
+    one, two = [begin[others[near]]], [others[near]]
+    unlike = np.zeros(len(ids), bool)
+    unlike[others[~near]] = True
+    left = np.flatnonzero(unlike)
+    ends = np.cumsum(n[left])
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        i = np.repeat(left[at:to], n[left[at:to]])
+        j = begin[i] + np.arange(len(i)) - np.repeat(ends[at:to] - n[left[at:to]] - (ends[at - 1] if at else 0), n[left[at:to]])
+        kept = (j != begin[i]) & (j != i) & (~unlike[j] | (i < j))
+        i, j = i[kept], j[kept]
+        kept = may(i, j)
+        one.append(np.minimum(i[kept], j[kept]))
+        two.append(np.maximum(i[kept], j[kept]))
+        at = to
+    a, b = np.concatenate(one), np.concatenate(two)
+    return pd.DataFrame({"bucket": bucket[a], "a": ids[a], "b": ids[b], "head": begin[a] == a})
+
+
+def meetings(members: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(bucket, a, b, head), a < b: the pairs of a bucket that may overlap enough by their sketches: the least id (head) with each other one, and those it can't be near to with all others.
+
+    members: (bucket, id, size, bits), each once. Pairs are made and left out in a task that
+    holds a bucket's sketches, so what is moved grows with members, not with pairs.
+    """
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            if not len(f):
+                continue
+            start = int(np.searchsorted(f["bucket"].to_numpy(), f["bucket"].iloc[-1]))  # of the bucket that may go on
+            if start or held and held[-1]["bucket"].iloc[-1] != f["bucket"].iloc[0]:
+                yield _compared(pd.concat([*held, f[:start]], ignore_index=True), similar)
+                held = []
+            held.append(f[start:])
+        if held:
+            yield _compared(pd.concat(held, ignore_index=True), similar)
+
+    return members.select("bucket", "id", "size", "bits").repartition("bucket").sortWithinPartitions("bucket", "id").mapInPandas(work, "bucket long, a long, b long, head boolean")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, weights: Weights, similar: float = SIMILAR) -> DataFrame:
     """(a, b, weighted): the pairs whose whole sets overlap enough, with their weighted Jaccard similarity. Only sets that a pair names are moved."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -266,21 +338,25 @@ def near_links(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     firsts: (id, first), the text that stands for a text's copies; copies leave before
     anything is compared. Each text of a bucket meets its first; those it isn't near to
     meet all of the bucket. So a bucket of n near texts costs n - 1 comparisons, and no
-    link is dropped.
+    link is dropped. A task holds the sketches of a bucket; only the pairs they let
+    through are moved.
     """
     weights = shingle_weights(sets)
-    placed = buckets(sets, weights).join(firsts, "id").select("bucket", F.col("first").alias("id")).distinct()
-    placed = stored(placed, "buckets")
-    heads = placed.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = stored(placed.join(heads, "bucket").where("id <> head").select("bucket", "head", "id"), "met")
-    wanted = met.select(F.explode(F.array("head", "id")).alias("id")).distinct()
+    placed = bucket_lists(sets, weights).join(firsts, "id").select(F.explode("buckets").alias("bucket"), F.col("first").alias("id"))
+    whole = Window.partitionBy("bucket")
+    counted = placed.repartition("bucket").distinct().withColumn("n", F.count("*").over(whole))
+    members = stored(counted.where("n > 1").select("bucket", "id"), "members")
+    wanted = members.select("id").distinct()
     drawn = small(stored(sketches(sets).join(small(wanted, 1_000_000), "id").dropDuplicates(["id"]), "sketches"), 50_000)
-    tried = stored(met.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    first = stored(verified(stored(possible(tried, drawn), "possible"), sets, weights), "first")
-    failed = met.join(first.select(F.col("a").alias("head"), F.col("b").alias("id")), ["head", "id"], "left_anti").select("bucket", "id")
-    others = failed.join(met.select("bucket", F.col("id").alias("other")), "bucket").where("id <> other")
-    second = others.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return first.union(verified(stored(possible(second, drawn), "possible"), sets, weights))
+    met = stored(meetings(members.join(drawn, "id")), "met")
+    tried = stored(met.where("head").select("a", "b").distinct(), "tried")
+    first = stored(verified(tried, sets, weights), "first")
+    # Those whose sketch let them pass as near to their head, but whose sets don't.
+    failed = met.where("head").join(first, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id"))
+    others = failed.join(members.select("bucket", F.col("id").alias("other")), "bucket").where("id <> other")
+    rest = possible(others.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), drawn)
+    second = met.where("not head").select("a", "b").union(rest).distinct().join(tried, ["a", "b"], "left_anti")
+    return first.union(verified(stored(second, "possible"), sets, weights))
 
 
 def near_groups(items: DataFrame, entities: DataFrame, aliases: DataFrame, text: str = "clean_text_original", least_words: int = LEAST_WORDS) -> DataFrame:

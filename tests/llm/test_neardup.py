@@ -116,3 +116,31 @@ def test_sketches_leave_no_near_pair_out(spark):
     near = {(r["a"], r["b"]) for r in neardup.verified(wanted, sets, neardup.shingle_weights(sets)).collect()}
     left = {tuple(r) for r in neardup.possible(wanted, neardup.sketches(sets)).collect()}
     assert len(near) == 20 and near <= left and (18, 20) not in left
+
+
+def test_buckets_are_compared_where_they_are(spark, monkeypatch):
+    """What meets is as with all pairs of a bucket, sketch by sketch; buckets go on over batches, and blocks of pairs end within a bucket."""
+    rng, rows, members = np.random.default_rng(8), [], []
+    for i in range(60):
+        h = neardup._mix(rng.integers(1, 1 << 40, 100).astype(np.uint64)).view(np.int64).tolist() if i % 3 == 0 else [*h[: 100 - 15 * (i % 3)], *neardup._mix(rng.integers(1, 1 << 40, 15 * (i % 3)).astype(np.uint64)).view(np.int64).tolist()]
+        rows.append((i, h))
+    for i in range(60):
+        members += [(-5, i)] + [(b, i) for b in range(9) if (i * 7 + b * b) % 11 < 3]
+    drawn = neardup.sketches(frame(spark, rows))
+    given = spark.createDataFrame(members, "bucket long, id long").join(drawn, "id")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = [tuple(r) for r in neardup.meetings(given).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    may = {tuple(r) for r in neardup.possible(spark.createDataFrame(pairs, "a long, b long"), drawn).collect()}
+    want = set()
+    for bucket in {b for b, _ in members}:
+        ids = sorted(i for b, i in members if b == bucket)
+        left = {i for i in ids[1:] if (ids[0], i) not in may}
+        want |= {(bucket, ids[0], i, True) for i in ids[1:] if i not in left}
+        want |= {(bucket, a, b, False) for a in ids[1:] for b in ids[1:] if a < b and (a in left or b in left) and (a, b) in may}
+    assert len(got) == len(set(got)) and set(got) == want and {h for *_, h in want} == {True, False}
+    monkeypatch.setattr(neardup, "PAIRS", 50)
+    again = neardup._compared(given.orderBy("bucket", "id").toPandas(), neardup.SIMILAR)
+    assert sorted(again.itertuples(index=False, name=None)) == sorted(got)
