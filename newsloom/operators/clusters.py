@@ -226,12 +226,16 @@ def story_clusters(items: DataFrame, threshold: float = BRIEFING, mode: str = "b
     searched for links, so the clusters are those of the pass. Items without words are
     clusters of their own (best) or left out (first).
     """
-    vectors = stored(lead_vectors(items, text), "leads")
+    return clusters_of(stored(lead_vectors(items, text), "leads"), threshold, mode)
+
+
+def clusters_of(vectors: DataFrame, threshold: float = BRIEFING, mode: str = "best") -> DataFrame:
+    """`story_clusters` of lead vectors, which should be stored, as they are read several times."""
     parts = components(vectors, threshold * threshold)
     together = stored(vectors.join(parts, "id"), "storyparts")
     more = together.groupBy("component").agg(F.count("*").alias("_n")).where("_n > 1").select("component")
     alone = together.join(more, "component", "left_anti").where(F.lit(mode == "best") | (F.size("buckets") > 0)).select("id", F.col("id").alias("cluster_id"))
-    ordered = together.join(more, "component", "left_semi").repartition(_parts(items), "component").sortWithinPartitions("component", F.desc("ord"), F.desc("id"))
+    ordered = together.join(more, "component", "left_semi").repartition(_parts(vectors), "component").sortWithinPartitions("component", F.desc("ord"), F.desc("id"))
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, now = None, None

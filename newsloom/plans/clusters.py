@@ -28,12 +28,16 @@ def kept(t: Tables, name: str, make) -> DataFrame:  # noqa: ANN001
     return _made[at]
 
 
+def leads(t: Tables) -> DataFrame:
+    return kept(t, "leads", lambda: cl.lead_vectors(news(t)))
+
+
 def briefing_clusters(t: Tables) -> DataFrame:
-    return kept(t, "briefing", lambda: cl.story_clusters(news(t)))
+    return kept(t, "briefing", lambda: cl.clusters_of(leads(t)))
 
 
 def theme_clusters(t: Tables) -> DataFrame:
-    return kept(t, "themes", lambda: cl.story_clusters(news(t), cl.THEMES, "first"))
+    return kept(t, "themes", lambda: cl.clusters_of(leads(t), cl.THEMES, "first"))
 
 
 def members(t: Tables, clusters: DataFrame) -> DataFrame:
@@ -133,7 +137,7 @@ def mth1_cluster_coordination(t: Tables) -> DataFrame:
 @query()
 def set2_stories_and_single_items(t: Tables) -> DataFrame:
     """Clusters, and items without words as stories of their own; which of the two each is."""
-    empty = cl.lead_vectors(news(t)).where(F.size("buckets") == 0).select("id")
+    empty = leads(t).where(F.size("buckets") == 0).select("id")
     alone = empty.select(F.col("id").alias("cluster_id"), F.lit("without_vector").alias("kind"))
     rest = briefing_clusters(t).join(empty, "id", "left_anti").select("cluster_id", F.lit("cluster").alias("kind")).distinct()
     return rest.unionByName(alone)

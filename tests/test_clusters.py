@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import numpy as np
 
@@ -82,3 +83,17 @@ def test_cards(spark):
     assert set(got) == {1, 3} and (got[1]["category"], got[1]["size"], got[1]["sources"], got[1]["dominant"]) == ("people", 3, 3, "neutral")
     said = spark.createDataFrame([(1, "mixed"), (3, "negative")], "id long, corrected string")
     assert {r["cluster_id"]: r["category"] for r in cl.cards(df, said).collect()} == {1: "negative", 3: "positive"}
+
+
+def test_lead_vectors_are_made_once_for_the_queries_on_clusters(spark, tmp_path, monkeypatch):
+    from newsloom.plans import QUERIES
+
+    schema = "id long, source_type string, ingested_at timestamp, clean_text_original string"
+    rows = [(1, "news", "rain floods city"), (2, "news", "rain floods city"), (3, "news", None), (4, "news", ""), (5, "post", "rain"), (6, "news", "budget vote")]
+    spark.createDataFrame([(i, kind, datetime(2024, 1, i), text) for i, kind, text in rows], schema).write.parquet(f"{tmp_path}/raw_items.parquet")
+    made, real = [], cl.lead_vectors
+    monkeypatch.setattr(cl, "lead_vectors", lambda *a: made.append(1) or real(*a))
+    got = {tuple(r) for r in QUERIES["set2_stories_and_single_items"](spark, str(tmp_path)).collect()}
+    assert got == {(2, "cluster"), (6, "cluster"), (3, "without_vector"), (4, "without_vector")}
+    assert {tuple(r) for r in QUERIES["clu1_theme_clusters"](spark, str(tmp_path)).collect()} == {(1, 2, 2), (2, 2, 2)}
+    assert len(made) == 1
