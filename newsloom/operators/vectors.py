@@ -122,12 +122,12 @@ def provider_embeddings(texts: DataFrame, key: str, text: str, provider: Callabl
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = provider(f[text].tolist())
+            made = provider(f["_text"].tolist())
             if any(len(v) != dimension for v in made):
                 raise ValueError(f"vectors of {dimension} dimensions were expected")
             yield pd.DataFrame({key: f[key], "embedding": made})
 
-    return texts.where(F.col(text).isNotNull()).select(key, text).mapInPandas(work, f"{key} {kind}, embedding array<float>")
+    return texts.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).mapInPandas(work, f"{key} {kind}, embedding array<float>")
 
 
 def unit_words(counts: DataFrame, key: str) -> DataFrame:
